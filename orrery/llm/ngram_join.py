@@ -291,18 +291,9 @@ def _sized() -> Column:
     return (F.col("low_a") * PERCENT <= F.col("high_b") * 100) & (F.col("low_b") * PERCENT <= F.col("high_a") * 100)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs, less its text, with n_shingles and component_id.
-
-    docs has to be a stored table. Words are runs of anything but ASCII white space, A-Z
-    lower-cased. A text with fewer than 5 words has its whole word sequence as its one shingle;
-    one without words, or null, has none and stays alone with its own id. Repeated rows fall
-    into one component. A null id takes part, and is never the component's id unless all its ids
-    are null. Columns of docs named like an added column, in any case, are replaced. An empty
-    table gives an empty table.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rid (place in docs), id, n (shingles) and component, null without shingles, of each row."""
     spark = docs.sparkSession
-    own = without(docs, [text_col, *ADDED]).columns
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     common = (
         texts.select("text").mapInArrow(_common, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -331,7 +322,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = join.linked(_counted(meet))
     component = connected_components(first.union(second))
     rows = sketch.where("bucket is null").select("rid", "id", "n", "gid").join(component.withColumnRenamed("node", "gid"), "gid", "left")
-    rows = spool(rows.withColumn("component", F.coalesce("component", "gid")), "rows")
+    return spool(rows.select("rid", "id", "n", F.coalesce("component", "gid").alias("component")), "rows")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of docs, less its text, with n_shingles and component_id.
+
+    docs has to be a stored table. Words are runs of anything but ASCII white space, A-Z
+    lower-cased. A text with fewer than 5 words has its whole word sequence as its one shingle;
+    one without words, or null, has none and stays alone with its own id. Repeated rows fall
+    into one component. A null id takes part, and is never the component's id unless all its ids
+    are null. Columns of docs named like an added column, in any case, are replaced. An empty
+    table gives an empty table.
+    """
+    own = without(docs, [text_col, *ADDED]).columns
+    rows = _classes(docs, id_col, text_col)
     smallest = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
     alone = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id"))
     found = rows.join(smallest, "component", "left").select("rid", "id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
@@ -341,6 +346,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return kept.join(found, "rid").select("row.*", *ADDED)
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs less near duplicates: of each component the row with the smallest id stays.
+
+    Null ids count as the largest; of rows that repeat the smallest id, the first in the table
+    stays. Rows without shingles all stay. The columns are those of docs.
+    """
+    rows = _classes(docs, id_col, text_col)
+    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid"))["rid"].alias("rid"))
+    stay = first.select("rid").union(rows.where("component is null").select("rid"))
+    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
+    kept = numbered.join(stay.withColumnRenamed("rid", "__rid").hint("shuffle_hash"), "__rid", "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _counted(meetings: DataFrame) -> DataFrame:
     """Pairs of groups with the number of prefix shingles at which they meet."""
     return meetings.groupBy(F.col("gid_a").alias("a"), F.col("gid_b").alias("b")).agg(
