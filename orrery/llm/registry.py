@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import exact_dedup, html_text, ngram_join, packing, quality, secrets, substring_dedup, token_counts, toxicity
+from orrery.llm import exact_dedup, html_text, ngram_join, packing, piece_sampling, quality, secrets, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": quality.op4_quality,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_html_text": html_text.op6_html_text,
+    "op7_piece_sampling": piece_sampling.op7_piece_sampling,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
