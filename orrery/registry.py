@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from orrery.plans import core  # noqa: F401  each module registers its queries
+from orrery.plans.catalog import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "jn01_exact_knn"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
