@@ -30,9 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.components import connected_components
@@ -45,6 +46,8 @@ PERCENT = 75
 MOST_COMMON = 1 << 17
 #: Documents that share a shingle before it counts as common.
 COMMON = 8
+#: Shingles that a task counts together.
+COUNTED_SHINGLES = 8_000_000
 #: Text bytes of a block, in which groups are formed, and prefix shingles of a bucket.
 BLOCK_BYTES, BUCKET_SHINGLES = 4 << 20, 1_000_000
 #: Members of a group. A larger cluster is cut into several, which the first round joins again.
@@ -111,14 +114,27 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles found in two or more different sets of a block, and in how many."""
+    """Shingles that two or more different sets of a task's texts have, and how many."""
+    seen: set[int] = set()
+    held: list[np.ndarray] = []
+
+    def counted() -> pa.RecordBatch:
+        shingles, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+        held.clear()
+        more = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(shingles[more].astype(np.int64)), pa.array(counts[more])], ["shingle", "n"])
+
     for batch in batches:
         texts = _texts(batch, 0)
         for a, b in slices(texts, BLOCK_BYTES):
-            sets = {s.tobytes(): s for s in shingle_sets(texts[a:b])}
-            shingles, counts = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            more = counts > 1
-            yield pa.RecordBatch.from_arrays([pa.array(shingles[more].astype(np.int64)), pa.array(counts[more])], ["shingle", "n"])
+            for s in shingle_sets(texts[a:b]):
+                key = xxhash.xxh3_64_intdigest(s.tobytes())
+                if key not in seen:
+                    seen.add(key)
+                    held.append(s)
+            if sum(map(len, held)) >= COUNTED_SHINGLES:
+                yield counted()
+    yield counted()
 
 
 def _cluster(sets: list[np.ndarray], prefixes: list[np.ndarray]) -> np.ndarray:
@@ -207,21 +223,28 @@ def _sketch(order: Order, n_buckets: int):
     return sketched
 
 
-LISTS = "shingle long, gid long, low long, high long, rest long"
+LISTS = "gids array<long>, low array<long>, high array<long>, rest array<long>, weight long"
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """The entries of a bucket whose shingle two or more groups have."""
+    """The groups that have a shingle of a bucket in common, by size; equal lists once, with the number of their shingles."""
     parts = [_unpack(b, 5) for b in table.column("blob").to_pylist()]
     shingle, gid, low, span, rest = (np.concatenate(x) for x in zip(*([p[0], np.cumsum(p[1]), *p[2:]] for p in parts)))
-    order = np.argsort(shingle, kind="stable")
-    ordered = shingle[order]
-    same = ordered[1:] == ordered[:-1]
-    shared = np.zeros(len(ordered), dtype=bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    at = order[shared]
-    return pa.table({"shingle": shingle[at], "gid": gid[at], "low": low[at], "high": low[at] + span[at], "rest": rest[at]})
+    order = np.lexsort((gid, low, shingle))
+    shingle = shingle[order]
+    firsts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+    ends = np.append(firsts[1:], len(shingle))
+    several = ends - firsts > 1
+    ordered = np.ascontiguousarray(gid[order])
+    weights: dict[bytes, int] = {}
+    where: dict[bytes, np.ndarray] = {}
+    for i, j in zip(firsts[several], ends[several]):
+        key = ordered[i:j].tobytes()
+        weights[key] = weights.get(key, 0) + 1
+        where.setdefault(key, order[i:j])
+    lists = [[column[at] for at in where.values()] for column in (gid, low, low + span, rest)]
+    kind = pa.list_(pa.int64())
+    return pa.table({**{name: pa.array(x, kind) for name, x in zip(("gids", "low", "high", "rest"), lists)}, "weight": pa.array(list(weights.values()), pa.int64())})
 
 
 def _matrix(table: pa.Table) -> pa.Table:
@@ -287,6 +310,15 @@ class _Join:
         return found
 
 
+def _pair(a: Column, b: Column) -> Column:
+    return F.struct(*[x[c].alias(f"{c}_{k}") for x, k in ((a, "a"), (b, "b")) for c in ("gid", "low", "high", "rest")])
+
+
+def _fits(a: Column, b: Column) -> Column:
+    """Whether members of both could be near enough in size."""
+    return (a["low"] * PERCENT <= b["high"] * 100) & (b["low"] * PERCENT <= a["high"] * 100)
+
+
 def _sized() -> Column:
     return (F.col("low_a") * PERCENT <= F.col("high_b") * 100) & (F.col("low_b") * PERCENT <= F.col("high_a") * 100)
 
@@ -305,21 +337,20 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 24 / BUCKET_SHINGLES))
     schema = f"rid long, id {texts.schema['id'].dataType.simpleString()}, n long, gid long, bucket int, blob binary"
     sketch = spool(texts.mapInArrow(_sketch(order, n_buckets), schema), "sketch")
-    lists = spool(sketch.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_lists, LISTS), "lists")
+    lists = sketch.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_lists, LISTS)
+    lists = lists.groupBy("gids").agg(*[F.first(c).alias(c) for c in ("low", "high", "rest")], F.sum("weight").alias("weight"))
+    lists = spool(lists.withColumn("list", F.monotonically_increasing_id()), "lists")
     join = _Join(texts.select("rid", "text"), sketch)
 
-    beside = Window.partitionBy("shingle").orderBy("low", "gid")
-    columns = ["gid", "low", "high", "rest"]
-    near = lists.select(*[F.col(c).alias(f"{c}_b") for c in columns], *[F.lag(c).over(beside).alias(f"{c}_a") for c in columns])
-    first = join.linked(_counted(near.where("gid_a is not null").where(_sized())))
+    groups = F.arrays_zip(F.col("gids").alias("gid"), "low", "high", "rest")
+    near = lists.select("weight", F.inline(F.zip_with(F.slice(groups, F.lit(1), F.size("gids") - 1), F.slice(groups, F.lit(2), F.size("gids") - 1), _pair)))
+    first = join.linked(_counted(near.where(_sized())))
     component = spool(connected_components(first), "component")
-    named = lists.join(component.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
-    open_lists = named.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    named = spool(named.join(open_lists, "shingle"), "open")
-    columns.append("component")
-    left, right = (named.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in columns]) for k in "ab")
-    meet = left.join(right, "shingle").where("gid_a < gid_b and component_a <> component_b").where(_sized())
-    second = join.linked(_counted(meet))
+    named = lists.select("list", "weight", F.inline(groups)).join(component.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+    # A list whose groups are in one component already has nothing to add.
+    named = named.groupBy("list").agg(F.first("weight").alias("weight"), F.collect_list(F.struct("gid", "low", "high", "rest", "component")).alias("g"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    apart = F.flatten(F.transform("g", lambda a: F.transform(F.filter("g", lambda b: (a["gid"] < b["gid"]) & (a["component"] != b["component"]) & _fits(a, b)), lambda b: _pair(a, b))))
+    second = join.linked(_counted(named.select("weight", F.inline(apart))))
     component = connected_components(first.union(second))
     rows = sketch.where("bucket is null").select("rid", "id", "n", "gid").join(component.withColumnRenamed("node", "gid"), "gid", "left")
     return spool(rows.select("rid", "id", "n", F.coalesce("component", "gid").alias("component")), "rows")
@@ -363,7 +394,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _counted(meetings: DataFrame) -> DataFrame:
     """Pairs of groups with the number of prefix shingles at which they meet."""
     return meetings.groupBy(F.col("gid_a").alias("a"), F.col("gid_b").alias("b")).agg(
-        F.count(F.lit(1)).alias("common"), *[F.first(c).alias(c) for c in ("low_a", "low_b", "rest_a", "rest_b")]
+        F.sum("weight").alias("common"), *[F.first(c).alias(c) for c in ("low_a", "low_b", "rest_a", "rest_b")]
     )
 
 
