@@ -411,7 +411,7 @@ def _fuzzy(spark, d):
     return virtual.fuzzy_edges(knn, scales)
 
 
-@query("vir03_fuzzy_degrees", f"WITH {BASE}, {FUZZY} SELECT i AS vec_id, round(sum(w), 5) AS degree FROM (SELECT DISTINCT i, j, round(w, 9) AS w FROM sy) GROUP BY i")
+@query("vir03_fuzzy_degrees", f"WITH {BASE}, {FUZZY} SELECT i AS vec_id, round(sum(w), 5) AS degree FROM (SELECT i, j, max(w) AS w FROM sy GROUP BY i, j) GROUP BY i")
 def vir03(spark, d):
     return _fuzzy(spark, d).groupBy("vec_id").agg(F.round(F.sum("w"), 5).alias("degree"))
 
