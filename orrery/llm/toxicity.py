@@ -105,7 +105,7 @@ class Channel:
             return self.restore(core) if len(core) < 64 and _STRETCHED.search(core) else core
         core = low.strip("\"'.,;:?()[]{}<>#%&*-_~`^=/\\…«»“”").rstrip("!")
         disguised = any(c.isalpha() for c in core) and len(core) < 64 and all(c.isalpha() or c in LOOKALIKES or c in SEPARATORS for c in core)
-        return self.restore(core) if disguised and sum(c in LOOKALIKES for c in core) * 2 <= len(core) else core
+        return self.restore(core) if disguised and 3 * sum(c in LOOKALIKES for c in core) <= 2 * len(core) else core
 
 
 def features(word: str) -> list[int]:
