@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.kmeans import scalar_kmeans, tail_weights
-from orrery.operators.search import stacked
 
 
 def levels(bits: int) -> int:

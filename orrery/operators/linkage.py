@@ -239,3 +239,43 @@ def depth_stats(rows: DataFrame) -> DataFrame:
     """Per list: rows, share of children, mean and greatest depth."""
     child: Column = (F.col("depth") > 0).cast("double")
     return rows.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.avg(child).alias("child_share"), F.avg("depth").alias("mean_depth"), F.max("depth").alias("max_depth"))
+
+
+def child_residuals(forest: DataFrame, vectors: DataFrame, root: Codebooks, one: Codebooks) -> DataFrame:
+    """Of each child: x less its parent's reconstruction, with its codes and coefficients. Roots are left out."""
+    rebuilt = reconstruct_forest(forest, root, one).select(F.col("vec_id").alias("parent"), "xh")
+    children = global_parents(forest).where("parent >= 0").join(rebuilt, "parent")
+    rows = children.join(forest.select("vec_id", "cid", "codes", "coeffs"), "vec_id").join(vectors.select("vec_id", "x"), "vec_id")
+    return rows.select("vec_id", "cid", F.zip_with("x", "xh", lambda a, b: a - b).alias("x"), "codes", "coeffs")
+
+
+def update_child_books(forest: DataFrame, vectors: DataFrame, root: Codebooks, one: Codebooks, bad: DataFrame | None = None, alpha: float = 1.0) -> list[np.ndarray]:
+    """The children's codebooks that fit their residuals best; children of bad clusters weigh alpha. Without children, the root's books."""
+    from orrery.operators.codebooks import update_codebooks
+
+    rows = child_residuals(forest, vectors, root, one)
+    if rows.isEmpty():
+        return root.layers
+    if bad is None:
+        return update_codebooks(rows, one.layers)
+    marks = bad.select(F.col("cid").cast("long").alias("cid"), F.when(F.col("bad"), F.lit(alpha)).otherwise(1.0).alias("w"))
+    return update_codebooks(rows.join(marks, "cid", "left").withColumn("w", F.coalesce("w", F.lit(1.0))), one.layers, "w")
+
+
+def quantised_forest(forest: DataFrame, bits: int = 8) -> DataFrame:
+    """The forest with coefficients of that many bits; steps are those of each list, of roots and children apart, and of each layer."""
+    from orrery.operators.compression import quantise
+
+    group = F.when(F.col("parent_local") == 0, 0).otherwise(1).alias("grp")
+    flat = forest.select("cid", "vec_id", group, F.posexplode("coeffs").alias("layer", "a"))
+    coded = quantise(flat, ["cid", "grp", "layer"], "a", 1.0, bits).withColumn("a", F.col("q") * F.col("step"))
+    coeffs = coded.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("layer", "a"))), lambda s: s["a"]).alias("coeffs"))
+    return forest.drop("coeffs").join(coeffs, "vec_id")
+
+
+def quantised_error(forest: DataFrame, vectors: DataFrame, root: Codebooks, one: Codebooks, bits: int = 8) -> DataFrame:
+    """vec_id and the squared error of its reconstruction from coefficients of that many bits."""
+    from orrery.functions.vectors import l2sq
+
+    rebuilt = reconstruct_forest(quantised_forest(forest, bits), root, one)
+    return rebuilt.join(vectors.select("vec_id", "x"), "vec_id").select("vec_id", l2sq("x", "xh").alias("se"))

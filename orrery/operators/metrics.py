@@ -99,3 +99,19 @@ def weighted_correlation(rows: DataFrame, a: str, b: str, w: str) -> DataFrame:
     cov = F.col("ab") / F.col("w") - F.col("a") * F.col("b") / F.col("w") ** 2
     va, vb = F.col("aa") / F.col("w") - (F.col("a") / F.col("w")) ** 2, F.col("bb") / F.col("w") - (F.col("b") / F.col("w")) ** 2
     return sums.select(F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).otherwise(0.0).alias("correlation"))
+
+
+def ridge(rows: DataFrame, features: list[str], target: str, penalty: float) -> DataFrame:
+    """Ridge regression on standardised features by normal equations: weights (in the features' own units) and intercept."""
+    import numpy as np
+
+    spark = rows.sparkSession
+    names = [*features, target]
+    products = [F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
+    got = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)], *products).first()
+    n, m, k = got["n"], np.array([got[f"m{i}"] for i in range(len(names))]), len(features)
+    cov = np.array([[got[f"{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))]) / n - np.outer(m, m)
+    std = np.sqrt(np.maximum(np.diag(cov)[:k], 1e-300))
+    z = cov[:k, :k] / np.outer(std, std) + penalty / n * np.eye(k)
+    w = np.linalg.solve(z, cov[:k, k] / std) / std
+    return spark.createDataFrame([([float(x) for x in w], float(m[k] - w @ m[:k]))], "weights array<double>, intercept double")

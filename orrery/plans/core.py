@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
-from orrery.functions.vectors import angle_degrees, cosine, dot, l2sq, norm2, normalise, scale, subtract
+from orrery.functions.vectors import angle_degrees, cosine, dot, l2sq, norm2, normalise, scale
 from orrery.operators import search, topk
 from orrery.operators.sampling import bottom_k
 from orrery.plans.catalog import BASE, CENTERS, ENCODED, atoms, base, centers, ddot, dl2, encodings, queries_of, query, sub, vectors

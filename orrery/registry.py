@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.plans import core, structure  # noqa: F401  each module registers its queries
+from orrery.plans import core, more, structure  # noqa: F401  each module registers its queries
 from orrery.plans.catalog import ORACLES, QUERIES
 
 FLAGSHIP = "jn01_exact_knn"
