@@ -18,6 +18,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = spool(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
+    state = _state(edges)
     while True:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -31,10 +32,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .distinct()
         )
         new = spool(small, "edges")
-        same = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
         unspool(edges)
-        edges = new
-        if same:
+        edges, before, state = new, state, _state(new)
+        if state == before:
             break
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select("v", "v").distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    """The number of edges and the sums of two hashes of them: the same for the same set of edges."""
+    hashes = [F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]
+    return tuple(edges.agg(F.count(F.lit(1)), *hashes).first())

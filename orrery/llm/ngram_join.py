@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.components import connected_components
-from orrery.llm.shared import _MULTIPLIER, documents, mix, slices, spool, unspool, windows, without, words
+from orrery.llm.shared import _MULTIPLIER, documents, mix, spool, text_slices, unspool, windows, without, words
 
 WIDTH = 5
 #: A pair links if 100 * intersection >= PERCENT * union.
@@ -47,11 +47,16 @@ MOST_COMMON = 1 << 17
 #: Documents that share a shingle before it counts as common.
 COMMON = 8
 #: Shingles that a task counts together.
-COUNTED_SHINGLES = 8_000_000
+COUNTED_SHINGLES = 3_000_000
 #: Text bytes of a block, in which groups are formed, and prefix shingles of a bucket.
-BLOCK_BYTES, BUCKET_SHINGLES = 4 << 20, 1_000_000
+BLOCK_BYTES, BUCKET_SHINGLES = 3 << 19, 500_000
+#: Prefix shingles that a task deals out at once.
+DEALT_SHINGLES = 300_000
 #: Members of a group. A larger cluster is cut into several, which the first round joins again.
 MOST_MEMBERS = 256
+#: In the first round: the next so many groups of a list, by size, are a group's neighbours; and as
+#: they aren't neighbours in all lists they share, what is seen in common counts so many times.
+NEAR, SEEN_OF = 4, 3
 ADDED = ["n_shingles", "component_id"]
 
 
@@ -125,9 +130,8 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(shingles[more].astype(np.int64)), pa.array(counts[more])], ["shingle", "n"])
 
     for batch in batches:
-        texts = _texts(batch, 0)
-        for a, b in slices(texts, BLOCK_BYTES):
-            for s in shingle_sets(texts[a:b]):
+        for _, _, texts in text_slices(batch, 0, BLOCK_BYTES):
+            for s in shingle_sets(texts):
                 key = xxhash.xxh3_64_intdigest(s.tobytes())
                 if key not in seen:
                     seen.add(key)
@@ -179,11 +183,21 @@ def _sketch(order: Order, n_buckets: int):
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_group = (TaskContext.get().partitionId() << 36) if TaskContext.get() else 0
         for batch in batches:
-            texts = _texts(batch, 2)
             kind = batch.schema.field(1).type
             gathered: list[np.ndarray] = []
-            for a, b in slices(texts, BLOCK_BYTES):
-                sets = shingle_sets(texts[a:b])
+
+            def dealt(gathered=gathered, kind=kind) -> pa.RecordBatch:
+                gid, shingle, low, high, rest = np.concatenate(gathered, axis=1)
+                gathered.clear()
+                bucket = shingle % n_buckets
+                by = np.lexsort((gid, bucket))
+                values, firsts = np.unique(bucket[by], return_index=True)
+                blobs = [_pack(shingle[rows], np.diff(gid[rows], prepend=0), low[rows], high[rows] - low[rows], rest[rows]) for rows in np.split(by, firsts[1:])]
+                n = len(blobs)
+                return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(values, pa.int32()), pa.array(blobs, pa.binary())], names)
+
+            for a, b, texts in text_slices(batch, 2, BLOCK_BYTES):
+                sets = shingle_sets(texts)
                 distinct: dict[bytes, int] = {}
                 member = np.array([distinct.setdefault(s.tobytes(), len(distinct)) for s in sets], dtype=np.int64)
                 kept = [np.frombuffer(k, dtype=np.uint64) for k in distinct]
@@ -211,14 +225,10 @@ def _sketch(order: Order, n_buckets: int):
                     table = pd.DataFrame({"gid": gids, "low": sizes, "high": sizes, "rest": rest}).groupby("gid").agg({"low": "min", "high": "max", "rest": "max"})
                     entry = np.unique(np.stack([gids[owner], np.concatenate(prefixes).astype(np.int64)]), axis=1)
                     gathered.append(np.vstack([entry, table.loc[entry[0]].to_numpy().T]))
+                if sum(g.shape[1] for g in gathered) >= DEALT_SHINGLES:
+                    yield dealt()
             if gathered:
-                gid, shingle, low, high, rest = np.concatenate(gathered, axis=1)
-                bucket = shingle % n_buckets
-                by = np.lexsort((gid, bucket))
-                values, firsts = np.unique(bucket[by], return_index=True)
-                blobs = [_pack(shingle[rows], np.diff(gid[rows], prepend=0), low[rows], high[rows] - low[rows], rest[rows]) for rows in np.split(by, firsts[1:])]
-                n = len(blobs)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(values, pa.int32()), pa.array(blobs, pa.binary())], names)
+                yield dealt()
 
     return sketched
 
@@ -281,7 +291,10 @@ def groups_link(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.nd
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [(a, b) for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))) if groups_link(_opened(x), _opened(y))]
+        found = []
+        for at in range(0, batch.num_rows, 32):
+            rows = batch.slice(at, 32).to_pylist()
+            found += [(r["a"], r["b"]) for r in rows if groups_link(_opened(r["x"]), _opened(r["y"]))]
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -289,9 +302,12 @@ class _Join:
     def __init__(self, texts: DataFrame, sketch: DataFrame) -> None:
         self.texts, self.sketch = texts, sketch
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs of groups that hold a link, of the pairs a, b given with their bounds."""
-        could = (100 + PERCENT) * (F.col("common") + F.greatest("rest_a", "rest_b")) >= PERCENT * (F.col("low_a") + F.col("low_b"))
+    def linked(self, pairs: DataFrame, seen_of: int = 1) -> DataFrame:
+        """The pairs of groups that hold a link, of the pairs a, b given with their bounds.
+
+        seen_of: the common shingles seen are taken for this part of all.
+        """
+        could = (100 + PERCENT) * (seen_of * F.col("common") + F.greatest("rest_a", "rest_b")) >= PERCENT * (F.col("low_a") + F.col("low_b"))
         pairs = spool(pairs.where(could).select("a", "b"), "pairs")
         wanted = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
         members = self.sketch.where("gid is not null").select("rid", "gid").join(wanted, "gid")
@@ -319,10 +335,6 @@ def _fits(a: Column, b: Column) -> Column:
     return (a["low"] * PERCENT <= b["high"] * 100) & (b["low"] * PERCENT <= a["high"] * 100)
 
 
-def _sized() -> Column:
-    return (F.col("low_a") * PERCENT <= F.col("high_b") * 100) & (F.col("low_b") * PERCENT <= F.col("high_a") * 100)
-
-
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rid (place in docs), id, n (shingles) and component, null without shingles, of each row."""
     spark = docs.sparkSession
@@ -343,8 +355,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     join = _Join(texts.select("rid", "text"), sketch)
 
     groups = F.arrays_zip(F.col("gids").alias("gid"), "low", "high", "rest")
-    near = lists.select("weight", F.inline(F.zip_with(F.slice(groups, F.lit(1), F.size("gids") - 1), F.slice(groups, F.lit(2), F.size("gids") - 1), _pair)))
-    first = join.linked(_counted(near.where(_sized())))
+    near = F.flatten(F.transform(groups, lambda a, i: F.transform(F.filter(F.slice(groups, i + 2, F.lit(NEAR)), lambda b: _fits(a, b)), lambda b: _pair(a, b))))
+    first = join.linked(_counted(lists.select("weight", F.inline(near))), SEEN_OF)
     component = spool(connected_components(first), "component")
     named = lists.select("list", "weight", F.inline(groups)).join(component.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     # A list whose groups are in one component already has nothing to add.

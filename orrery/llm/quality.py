@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import documents, mix, slices, windows, words
+from orrery.llm.shared import documents, mix, text_slices, windows, words
 
 LEVEL = 3
 CHUNK_BYTES = 4096
@@ -109,9 +109,8 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-        for a, b in slices(texts):
-            figures = measure(texts[a:b])
+        for a, b, texts in text_slices(batch, 1):
+            figures = measure(texts)
             rest = [batch.column(i).slice(a, b - a) for i in range(2, batch.num_columns)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), *(pa.array(v) for v in figures.values()), *rest],

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +104,18 @@ def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of a batch's rows with their texts in UTF-8, about `most` bytes at once; only those are in Python's hands."""
+    texts = batch.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield start, end, [(t or "").encode() for t in texts.slice(start, end - start).to_pylist()]
+        start = end
+
+
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _FOLD = np.arange(256, dtype=np.uint8)
