@@ -358,11 +358,21 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     near = F.flatten(F.transform(groups, lambda a, i: F.transform(F.filter(F.slice(groups, i + 2, F.lit(NEAR)), lambda b: _fits(a, b)), lambda b: _pair(a, b))))
     first = join.linked(_counted(lists.select("weight", F.inline(near))), SEEN_OF)
     component = spool(connected_components(first), "component")
-    named = lists.select("list", "weight", F.inline(groups)).join(component.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+    # Groups of one component become one group, or a few of bounded size, before all pairs are looked at.
+    sizes = sketch.where("gid is not null").groupBy("gid").agg(F.count(F.lit(1)).alias("k"))
+    parts = sizes.join(component.withColumnRenamed("node", "gid"), "gid").select("gid", "component", "k")
+    totals = parts.groupBy("component").agg(F.ceil(F.sum("k") / MOST_MEMBERS).alias("n"))
+    parts = parts.join(totals, "component").withColumn("part", F.pmod(F.xxhash64("gid"), F.col("n")))
+    names = parts.groupBy("component", "part").agg(F.min("gid").alias("name"))
+    merged = spool(parts.join(names, ["component", "part"]).select("gid", "component", "name"), "merged")
+    named = lists.select("list", "weight", F.inline(groups)).join(merged, "gid", "left")
+    named = named.withColumns({"component": F.coalesce("component", "gid"), "gid": F.coalesce("name", "gid")})
+    named = named.groupBy("list", "gid").agg(F.first("weight").alias("weight"), F.first("component").alias("component"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("rest").alias("rest"))
     # A list whose groups are in one component already has nothing to add.
     named = named.groupBy("list").agg(F.first("weight").alias("weight"), F.collect_list(F.struct("gid", "low", "high", "rest", "component")).alias("g"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     apart = F.flatten(F.transform("g", lambda a: F.transform(F.filter("g", lambda b: (a["gid"] < b["gid"]) & (a["component"] != b["component"]) & _fits(a, b)), lambda b: _pair(a, b))))
-    second = join.linked(_counted(named.select("weight", F.inline(apart))))
+    renamed = sketch.where("gid is not null").select("rid", "gid").join(merged.select("gid", "name"), "gid", "left").select("rid", F.coalesce("name", "gid").alias("gid"))
+    second = _Join(join.texts, renamed).linked(_counted(named.select("weight", F.inline(apart))))
     component = connected_components(first.union(second))
     rows = sketch.where("bucket is null").select("rid", "id", "n", "gid").join(component.withColumnRenamed("node", "gid"), "gid", "left")
     return spool(rows.select("rid", "id", "n", F.coalesce("component", "gid").alias("component")), "rows")
@@ -406,7 +416,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _counted(meetings: DataFrame) -> DataFrame:
     """Pairs of groups with the number of prefix shingles at which they meet."""
     return meetings.groupBy(F.col("gid_a").alias("a"), F.col("gid_b").alias("b")).agg(
-        F.sum("weight").alias("common"), *[F.first(c).alias(c) for c in ("low_a", "low_b", "rest_a", "rest_b")]
+        F.sum("weight").alias("common"), F.min("low_a").alias("low_a"), F.min("low_b").alias("low_b"), F.max("rest_a").alias("rest_a"), F.max("rest_b").alias("rest_b")
     )
 
 
