@@ -75,6 +75,8 @@ class Lattice:
     """
 
     TILT, BLOCK = 20.0, 64
+    #: A short unit with up to so many segmentations has them listed, and takes one draw.
+    LISTED, SHORT = 64, 8
 
     def __init__(self, unit: str, spaced: bool, vocabulary: Vocabulary) -> None:
         """spaced: the unit begins with a mark that stands for a space."""
@@ -108,6 +110,25 @@ class Lattice:
                     sums[k] = [x / top for x in sums[k]]
                 self.log_scale += math.log(top)
         self.sums, self.starts, self.ids = sums, starts, ids
+        self.paths = self._paths() if n <= self.SHORT else None
+
+    def _paths(self) -> tuple[list[float], list[tuple[int, ...]]] | None:
+        """All segmentations with their running shares, if they are few."""
+        upto: list[list[tuple[tuple[int, ...], float]]] = [[((), 1.0)]]
+        for at in range(1, len(self.sums)):
+            here, last = [], 0.0
+            for so_far, start, ids in zip(self.sums[at], self.starts[at], self.ids[at]):
+                share = (so_far - last) / self.sums[at][-1]
+                here += [(path + ids, share * w) for path, w in upto[start]]
+                last = so_far
+            if len(here) > self.LISTED:
+                return None
+            upto.append(here)
+        shares, running = [], 0.0
+        for _, w in upto[-1][:-1]:
+            running += w
+            shares.append(running)
+        return shares, [path for path, _ in upto[-1]]
 
     @property
     def log_sum(self) -> float:
@@ -115,6 +136,10 @@ class Lattice:
 
     def draw(self, uniform, into: list[int]) -> None:
         """Adds the ids of a segmentation drawn from all of them."""
+        if self.paths:
+            shares, paths = self.paths
+            into += paths[bisect_right(shares, uniform())] if shares else paths[0]
+            return
         sums, starts, ids = self.sums, self.starts, self.ids
         at, drawn = len(sums) - 1, []
         while at:
