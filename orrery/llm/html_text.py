@@ -5,9 +5,9 @@ whose path shares the longer beginning with its own; the lines of both (the text
 each) are aligned by their longest common subsequence, and what the two share is boilerplate.
 
 Two guards make the result right where differences alone can't: a page whose neighbour has
-mostly the same lines is a copy of it, so nothing is deleted for that pair; and text that the
-markup itself marks, as the article or as what surrounds it, is kept or dropped by that mark.
-So a line shared with the neighbour goes unless it stands inside the article.
+mostly the same lines is a copy of it, so nothing is deleted for that pair; and what the markup
+itself marks as surroundings goes whether it is shared or not, as does all that stands outside
+the article on a page that marks one. Inside the article the differences decide.
 
 Only digests of lines travel to the pairing; pages are joined to the few lines that the
 differences delete, and their html is never moved for it.
@@ -32,8 +32,8 @@ from orrery.llm.shared import documents, spool, without
 ADDED = ["text", "n_chars"]
 #: Pages in URL order are paired within runs of this many, which one task holds as digests.
 RUN_PAGES = 256
-#: A pair that shares more than this part of the shorter page's lines is a pair of copies.
-COPY_SHARE = 0.5
+#: A pair that shares more than this part of the longer page's main lines is a pair of copies.
+COPY_SHARE = 0.8
 #: Elements whose content is not text, or not the main text.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object"}
 CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head"}
@@ -115,11 +115,16 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
     return found
 
 
+def main_lines(lines: list[tuple[str, bool, bool]]) -> list[int]:
+    """Places of the lines of the landmarks, or of the whole page if it has none, less chrome."""
+    marked = any(mark and not chrome for _, mark, chrome in lines)
+    return [i for i, (_, mark, chrome) in enumerate(lines) if not chrome and (mark or not marked)]
+
+
 def main_text(html: str, deleted: frozenset[int] = frozenset()) -> str:
-    """The lines of the landmarks, or of the whole page if it has none, less chrome and what is deleted."""
+    """The main lines less what is deleted."""
     lines = blocks(html)
-    marked = any(mark and not chrome for _, mark, chrome in lines)
-    return " ".join(text for i, (text, mark, chrome) in enumerate(lines) if not chrome and i not in deleted and (mark or not marked))
+    return " ".join(lines[i][0] for i in main_lines(lines) if i not in deleted)
 
 
 def common_subsequence(a: list, b: list) -> list[int]:
@@ -160,19 +165,20 @@ def address(url: str | None) -> tuple[str, str]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: its address, 8 bytes for each of its lines, and the places of those no difference deletes."""
+    """Per page: its address, 8 bytes for each of its lines that are no chrome, their places, and the places of its main lines."""
     for batch in batches:
-        hosts, paths, lines, fixed = [], [], [], []
+        hosts, paths, lines, places, main = [], [], [], [], []
         for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             host, path = address(url)
             found = blocks(html or "")
             hosts.append(host)
             paths.append(path)
-            lines.append(b"".join(xxhash.xxh3_64_digest(x.encode(errors="replace")) for x, _, _ in found))
-            fixed.append([i for i, (_, mark, chrome) in enumerate(found) if mark and not chrome])
+            places.append([i for i, (_, _, chrome) in enumerate(found) if not chrome])
+            lines.append(b"".join(xxhash.xxh3_64_digest(found[i][0].encode(errors="replace")) for i in places[-1]))
+            main.append(main_lines(found))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(hosts), pa.array(paths), pa.array(lines, pa.binary()), pa.array(fixed, pa.list_(pa.int32()))],
-            ["rid", "host", "path", "lines", "fixed"],
+            [batch.column(0), *(pa.array(x, t) for x, t in zip((hosts, paths, lines, places, main), (None, None, pa.binary(), *[pa.list_(pa.int32())] * 2)))],
+            ["rid", "host", "path", "lines", "places", "main"],
         )
 
 
@@ -180,6 +186,7 @@ def _shared(table: pa.Table) -> pa.Table:
     """Of a run of pages in URL order: the places of the lines each shares with its neighbour."""
     rows = sorted(table.to_pylist(), key=lambda r: r["rank"])
     keys = [[r["lines"][i : i + 8] for i in range(0, len(r["lines"]), 8)] for r in rows]
+    main = [[k for k, i in zip(ks, r["places"]) if i in own] for r, ks in zip(rows, keys) for own in [set(r["main"])]]
     rids, deleted = [], []
     for i, row in enumerate(rows):
         beside = [k for k in (i - 1, i + 1) if 0 <= k < len(rows) and rows[k]["host"] == row["host"]]
@@ -187,9 +194,9 @@ def _shared(table: pa.Table) -> pa.Table:
             continue
         other = max(beside, key=lambda k: len(commonprefix([row["path"], rows[k]["path"]])))
         common = common_subsequence(keys[i], keys[other])
-        if common and len(common) <= COPY_SHARE * min(len(keys[i]), len(keys[other])):
+        if common and len(common_subsequence(main[i], main[other])) <= COPY_SHARE * max(len(main[i]), len(main[other])):
             rids.append(row["rid"])
-            deleted.append(sorted(set(common) - set(row["fixed"])))
+            deleted.append([row["places"][j] for j in common])
     return pa.table({"rid": pa.array(rids, pa.int64()), "deleted": pa.array(deleted, pa.list_(pa.int32()))})
 
 
@@ -210,7 +217,7 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     """
     spark = pages.sparkSession
     rows = pages.withColumn("__rid", F.monotonically_increasing_id())
-    narrow = rows.select("__rid", url_col, html_col).mapInArrow(_digests, "rid long, host string, path string, lines binary, fixed array<int>")
+    narrow = rows.select("__rid", url_col, html_col).mapInArrow(_digests, "rid long, host string, path string, lines binary, places array<int>, main array<int>")
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = narrow.where(F.length("lines") > 0).repartitionByRange(n, "host", "path", "rid").sortWithinPartitions("host", "path", "rid")
     ordered = spool(ordered.withColumn("nth", F.monotonically_increasing_id()), "pages")
@@ -218,7 +225,7 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     before = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition
     ranked = ordered.withColumn("part", part).join(before, "part").withColumn("rank", F.col("before") + nth)
-    shared = ranked.select("rid", "host", "path", "lines", "fixed", "rank", F.floor(F.col("rank") / RUN_PAGES).alias("run"))
+    shared = ranked.select("rid", "host", "path", "lines", "places", "main", "rank", F.floor(F.col("rank") / RUN_PAGES).alias("run"))
     deleted = spool(shared.groupBy("run").applyInArrow(_shared, "rid long, deleted array<int>"), "shared-lines")
     own = without(pages, [html_col, *ADDED]).columns
     packed = rows.join(deleted.withColumnRenamed("rid", "__rid"), "__rid", "left").select(

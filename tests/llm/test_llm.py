@@ -355,6 +355,15 @@ def test_shared_lines_of_neighbours_go(tables):
     assert html_text.extract_text(pages.where("false")).count() == 0
 
 
+def test_shared_lines_go_inside_an_article(tables):
+    notice = "<p>This notice stands on every page</p>"
+    rows = [(i, f"http://h.example/a/{i}", f"<nav>menu</nav><p>outside</p><article><p>Story {i}</p>{notice}<p>its end {i}</p><p>and more {i}</p></article>") for i in range(4)]
+    rows += [(10 + i, f"http://c.example/a?{i}", f"<article><p>one text</p>{notice}</article>") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(tables["stored"](rows, "articles", "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} its end {i} and more {i}" for i in range(4))
+    assert got[10] == got[11] == "one text This notice stands on every page"
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
