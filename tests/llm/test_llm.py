@@ -296,6 +296,22 @@ def test_bands_reject_repetition_and_noise():
     assert kept == [True, False, False]
 
 
+def test_bands_reject_junk_without_symbols():
+    rng = random.Random(4)
+
+    def junk(letters, shortest, longest, size):
+        return " ".join("".join(rng.choices(letters, k=rng.randint(shortest, longest))) for _ in range(size))[:size].encode()
+
+    for size in (3000, 12_000, 50_000, 200_000):
+        random_words = junk("abcdefghijklmnopqrstuvwxyz", 2, 9, size)
+        hexes = junk("0123456789abcdef", 32, 32, size)
+        digits = junk("0123456789", 2, 9, size)
+        got = quality.measure([random_words, hexes, digits])
+        assert not got["base_failed"].any()
+        # Hex words and digits of a few KB compress like the noisiest clean texts of that length.
+        assert not got["kept"][:1 if size < 10_000 else 3].any()
+
+
 # Toxicity
 
 
