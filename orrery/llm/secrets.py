@@ -31,13 +31,16 @@ FORMATS = {
     "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}\b",
     "jwt": r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
-    "url_password": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@",
+    # To its END, or, if that is missing, over the lines of its body.
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}(?!-)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:\s{1,4}[0-9A-Za-z+/=]{16,}+)*+)",
+    "url_password": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]++:[^\s:/@]{3,}+@",
 }
 #: Names whose values are secrets, as a pattern.
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credentials?)"
-ASSIGNED = rf"(?i:{NAMES}[a-z0-9_]{{0,10}}[\"']?\s{{0,3}}(?:=|:|=>)\s{{0,3}}[\"']?[^\s\"',;<>]{{6,200}})"
-MIXED = r"(?<![0-9A-Za-z+/_=.@-])(?=[0-9A-Za-z+/_=-]{0,199}[0-9])(?=[0-9A-Za-z+/_=-]{0,199}[A-Za-z])[0-9A-Za-z+/_=-]{20,200}(?![0-9A-Za-z+/_=@-])"
+SIGN = rf"(?i:{NAMES}[a-z0-9_]{{0,10}}[\"']?\s{{0,3}}(?:=|:|=>)\s{{0,3}}[\"']?)"
+#: A name with its value, which is a key of some format with what hangs on to it, or else anything unbroken. No length ends a value.
+ASSIGNED = rf"{SIGN}(?:(?:{'|'.join(FORMATS.values())})[^\s\"',;<>]*+|[^\s\"',;<>]{{6,}}+)"
+MIXED = r"(?<![0-9A-Za-z+/_=.@-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[0-9A-Za-z+/_=-]{20,}+(?!@)"
 CANDIDATE = "|".join([*FORMATS.values(), ASSIGNED, MIXED])
 #: Characters before and after a candidate that count as its neighbours.
 BESIDE = 48
@@ -92,8 +95,8 @@ def with_features(found: DataFrame) -> DataFrame:
 
 def value_of(finding: Column) -> Column:
     """The part of a finding that would be the secret: what stands behind the sign, if there is one."""
-    inner = F.regexp_extract(finding, rf"(?i){NAMES}[a-z0-9_]{{0,10}}[\"']?\s*(?:=>|=|:)\s*[\"']?(.+)$", 1)
-    return F.when(F.length(inner) > 0, inner).otherwise(finding)
+    inner = F.regexp_extract(finding, rf"(?i){NAMES}[a-z0-9_]{{0,10}}[\"']?\s*(?:=>|=|:)\s*[\"']?([\s\S]+)$", 1)
+    return F.when((F.length(inner) > 0) & ~finding.startswith("-----BEGIN"), inner).otherwise(finding)
 
 
 def labelled_findings(spark: SparkSession, n: int = N_EXAMPLES) -> DataFrame:
@@ -108,6 +111,9 @@ def labelled_findings(spark: SparkSession, n: int = N_EXAMPLES) -> DataFrame:
     def prose(salt: str) -> Column:
         return F.translate(F.substring(F.regexp_replace(digest(salt), "(.)", "$1a"), 1, 18), "0123456789", " tnrslmd h")
 
+    def body(n: int) -> Column:
+        return F.concat_ws("\n", *[F.base64(F.unhex(F.substring(F.concat(digest(f"y{i}"), digest(f"z{i}")), 1, 96))) for i in range(n)])
+
     digit = F.regexp_replace(digest("n"), "[a-f]", "")
     name = F.element_at(F.array(*[F.lit(x) for x in ("password", "db_password", "api_key", "secret", "auth_token", "token", "client_secret", "pwd")]), (F.col("id") % 8 + 1).cast("int"))
     sign = F.element_at(F.array(*[F.lit(x) for x in ("=", " = \"", ": ", "='")]), (F.floor(F.col("id") / 8) % 4 + 1).cast("int"))
@@ -119,6 +125,8 @@ def labelled_findings(spark: SparkSession, n: int = N_EXAMPLES) -> DataFrame:
         (F.concat(F.lit("eyJ"), letters("j", 20), F.lit("."), letters("k", 30), F.lit("."), letters("l", 30)), 1),
         (F.concat(F.lit("postgres://app:"), letters("p", 14), F.lit("@")), 1),
         (F.lit("-----BEGIN RSA PRIVATE KEY-----"), 1),
+        (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), body(12), F.lit("\n-----END RSA PRIVATE KEY-----")), 1),
+        (F.concat(name, sign, F.lit("eyJ"), F.translate(body(7), "\n+/=", "qqqq"), F.lit("."), letters("r", 40), F.lit("."), letters("t", 40)), 1),
         (F.concat(name, sign, F.substring(digest("h"), 1, 18)), 1),
         (F.concat(name, sign, F.substring(digest("i"), 1, 40)), 1),
         (F.concat(name, sign, letters("v", 12)), 1),
