@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from orrery.llm.shared import documents, spool, without
 
 ADDED = ["text", "n_chars"]
-#: Pages in URL order are paired within runs of this many, which one task holds as digests.
+#: Pages in URL order are paired within runs of this many, which one task holds as digests; a run also sees the page before and the page after it.
 RUN_PAGES = 256
 #: A pair that shares more than this part of the longer page's main lines is a pair of copies.
 COPY_SHARE = 0.8
@@ -189,6 +189,8 @@ def _shared(table: pa.Table) -> pa.Table:
     main = [[k for k, i in zip(ks, r["places"]) if i in own] for r, ks in zip(rows, keys) for own in [set(r["main"])]]
     rids, deleted = [], []
     for i, row in enumerate(rows):
+        if not row["own"]:
+            continue  # the page before or after the run, a neighbour only
         beside = [k for k in (i - 1, i + 1) if 0 <= k < len(rows) and rows[k]["host"] == row["host"]]
         if not beside or not keys[i]:
             continue
@@ -225,7 +227,9 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     before = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition
     ranked = ordered.withColumn("part", part).join(before, "part").withColumn("rank", F.col("before") + nth)
-    shared = ranked.select("rid", "host", "path", "lines", "places", "main", "rank", F.floor(F.col("rank") / RUN_PAGES).alias("run"))
+    runs = F.array_distinct(F.array(*[F.floor((F.col("rank") + k) / RUN_PAGES) for k in (-1, 0, 1)]))
+    shared = ranked.select("rid", "host", "path", "lines", "places", "main", "rank", F.explode(runs).alias("run"))
+    shared = shared.withColumn("own", F.col("run") == F.floor(F.col("rank") / RUN_PAGES))
     deleted = spool(shared.groupBy("run").applyInArrow(_shared, "rid long, deleted array<int>"), "shared-lines")
     own = without(pages, [html_col, *ADDED]).columns
     packed = rows.join(deleted.withColumnRenamed("rid", "__rid"), "__rid", "left").select(

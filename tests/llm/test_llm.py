@@ -380,6 +380,15 @@ def test_shared_lines_go_inside_an_article(tables):
     assert got[10] == got[11] == "one text This notice stands on every page"
 
 
+def test_template_pages_and_run_edges(tables, monkeypatch):
+    monkeypatch.setattr(html_text, "RUN_PAGES", 2)
+    template = "".join(f"<p>template line {k}</p>" for k in range(13))
+    rows = [(i, f"http://h{(i + 1) // 2}.example/a/{i}", template + "".join(f"<p>own {i} {k}</p>" for k in range(6))) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(tables["stored"](rows, "edges", "page_id long, url string, html string")).collect()}
+    for i in range(1, 7):  # hosts of two pages each, across the edges of the runs
+        assert got[i] == " ".join(f"own {i} {k}" for k in range(6))
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
