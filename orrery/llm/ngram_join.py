@@ -1,6 +1,6 @@
 """Near-duplicate documents by an exact Jaccard join on word shingles, with a token-group matrix.
 
-A document's set holds the 48-bit hashes of its distinct 5-word shingles. Two documents link
+A document's set holds the 64-bit hashes of its distinct 5-word shingles. Two documents link
 when their sets' Jaccard similarity is 0.75 or more.
 
 1. Common shingles are counted over all documents in blocks of a few MB; shingles repeated
@@ -18,8 +18,13 @@ when their sets' Jaccard similarity is 0.75 or more.
    bit row for each member. Each member's overlap with the other group's union is bounded
    first; only members that could link are multiplied out. One link joins two groups.
 5. Two rounds: neighbours in each shingle's list first, which joins the large groups of near
-   copies in linear work; then every pair of groups that meet and lie in different components
-   still. So all links between components are found, and no pairs within one are spelled out.
+   copies in linear work; then groups that meet and lie in different components still. A
+   shingle that only one component has by now can add to no overlap between components, so a
+   group's count of the other ones bounds its overlap with all groups at once. That bound drops
+   the fringe of a family of near copies before any pair of it is spelled out.
+6. Hot shingles. What is counted as common in more than LONGEST_LIST sets is dealt out in parts,
+   and a list that is still longer than that in the second round is cut into chunks of like
+   sizes, of which pairs are joined whose bounds let them link.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.components import connected_components
@@ -52,6 +57,8 @@ COUNTED_SHINGLES = 3_000_000
 BLOCK_BYTES, BUCKET_SHINGLES = 3 << 19, 500_000
 #: Prefix shingles that a task deals out at once.
 DEALT_SHINGLES = 300_000
+#: Groups of a list that one task looks at together, and rows of them that are compared with the others at once.
+LONGEST_LIST, COMPARED = 1 << 15, 256
 #: Members of a group. A larger cluster is cut into several, which the first round joins again.
 MOST_MEMBERS = 256
 #: In the first round: the next so many groups of a list, by size, are a group's neighbours; and as
@@ -69,12 +76,12 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     sets = []
     for i, n in enumerate(counts):
         if n >= WIDTH:
-            sets.append(np.unique(runs[bounds[i] : bounds[i + 1]] >> np.uint64(16)))
+            sets.append(np.unique(runs[bounds[i] : bounds[i + 1]]))
         elif n:
             total = np.full(1, n, dtype=np.uint64)
             for h in hashes[firsts[i] : firsts[i] + n]:
                 total = mix(total * np.uint64(_MULTIPLIER) + h)
-            sets.append(total >> np.uint64(16))
+            sets.append(total)
         else:
             sets.append(np.zeros(0, dtype=np.uint64))
     return sets
@@ -102,6 +109,19 @@ class Order:
     def __init__(self, common: np.ndarray, counts: np.ndarray) -> None:
         by_hash = np.argsort(common)
         self.common, self.counts = common[by_hash], counts[by_hash]
+        #: Shingles dealt out in several parts, and the number of these.
+        hot = self.counts > LONGEST_LIST
+        self.split, self.parts = self.common[hot], -(-self.counts[hot] // LONGEST_LIST)
+
+    def bucket(self, shingle: np.ndarray, gid: np.ndarray, n_buckets: int) -> np.ndarray:
+        """The bucket of each entry: that of its shingle, or of a part of it drawn by the group."""
+        key = shingle.copy()
+        if len(self.split):
+            at = np.minimum(np.searchsorted(self.split, shingle), len(self.split) - 1)
+            hot = np.flatnonzero(self.split[at] == shingle)
+            part = mix(gid[hot].astype(np.uint64) ^ shingle[hot]) % self.parts[at[hot]].astype(np.uint64)
+            key[hot] = mix(shingle[hot] + part)
+        return (key % np.uint64(n_buckets)).astype(np.int64)
 
     def prefix(self, shingles: np.ndarray) -> np.ndarray:
         k = prefix_size(len(shingles))
@@ -177,8 +197,8 @@ def _unpack(blob: bytes, n_arrays: int) -> list[np.ndarray]:
 
 
 def _sketch(order: Order, n_buckets: int):
-    """Rows of two kinds: a document with its size and group, and a bucket's packed prefixes."""
-    names = ["rid", "id", "n", "gid", "bucket", "blob"]
+    """Rows of two kinds: a document with its size, its group and whether it is the first in its block with its set, and a bucket's packed prefixes."""
+    names = ["rid", "id", "n", "gid", "first", "bucket", "blob"]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_group = (TaskContext.get().partitionId() << 36) if TaskContext.get() else 0
@@ -189,12 +209,12 @@ def _sketch(order: Order, n_buckets: int):
             def dealt(gathered=gathered, kind=kind) -> pa.RecordBatch:
                 gid, shingle, low, high, rest = np.concatenate(gathered, axis=1)
                 gathered.clear()
-                bucket = shingle % n_buckets
+                bucket = order.bucket(shingle.astype(np.uint64), gid, n_buckets)
                 by = np.lexsort((gid, bucket))
                 values, firsts = np.unique(bucket[by], return_index=True)
                 blobs = [_pack(shingle[rows], np.diff(gid[rows], prepend=0), low[rows], high[rows] - low[rows], rest[rows]) for rows in np.split(by, firsts[1:])]
                 n = len(blobs)
-                return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(values, pa.int32()), pa.array(blobs, pa.binary())], names)
+                return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(values, pa.int32()), pa.array(blobs, pa.binary())], names)
 
             for a, b, texts in text_slices(batch, 2, BLOCK_BYTES):
                 sets = shingle_sets(texts)
@@ -212,10 +232,12 @@ def _sketch(order: Order, n_buckets: int):
                     gids[i] = name
                 sizes = np.array([len(s) for s in kept], dtype=np.int64)
                 n_rows, n_of = b - a, sizes[member]
+                first = np.zeros(n_rows, dtype=bool)
+                first[np.unique(member, return_index=True)[1]] = True
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, n_rows), batch.column(1).slice(a, n_rows), pa.array(n_of),
-                        pa.array(gids[member], mask=n_of == 0), pa.nulls(n_rows, pa.int32()), pa.nulls(n_rows, pa.binary()),
+                        pa.array(gids[member], mask=n_of == 0), pa.array(first), pa.nulls(n_rows, pa.int32()), pa.nulls(n_rows, pa.binary()),
                     ],
                     names,
                 )
@@ -233,28 +255,76 @@ def _sketch(order: Order, n_buckets: int):
     return sketched
 
 
-LISTS = "gids array<long>, low array<long>, high array<long>, rest array<long>, weight long"
+LISTS = "gids array<long>, low array<long>, high array<long>, rest array<long>, weight long, split long"
 
 
-def _lists(table: pa.Table) -> pa.Table:
-    """The groups that have a shingle of a bucket in common, by size; equal lists once, with the number of their shingles."""
-    parts = [_unpack(b, 5) for b in table.column("blob").to_pylist()]
-    shingle, gid, low, span, rest = (np.concatenate(x) for x in zip(*([p[0], np.cumsum(p[1]), *p[2:]] for p in parts)))
-    order = np.lexsort((gid, low, shingle))
-    shingle = shingle[order]
-    firsts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
-    ends = np.append(firsts[1:], len(shingle))
-    several = ends - firsts > 1
-    ordered = np.ascontiguousarray(gid[order])
-    weights: dict[bytes, int] = {}
-    where: dict[bytes, np.ndarray] = {}
-    for i, j in zip(firsts[several], ends[several]):
-        key = ordered[i:j].tobytes()
-        weights[key] = weights.get(key, 0) + 1
-        where.setdefault(key, order[i:j])
-    lists = [[column[at] for at in where.values()] for column in (gid, low, low + span, rest)]
-    kind = pa.list_(pa.int64())
-    return pa.table({**{name: pa.array(x, kind) for name, x in zip(("gids", "low", "high", "rest"), lists)}, "weight": pa.array(list(weights.values()), pa.int64())})
+def _lists(hot: np.ndarray):
+    """The groups that have a shingle of a bucket in common, by size; equal lists once, with the number of their shingles. A list of a hot shingle names it."""
+
+    def listed(table: pa.Table) -> pa.Table:
+        parts = [_unpack(b, 5) for b in table.column("blob").to_pylist()]
+        shingle, gid, low, span, rest = (np.concatenate(x) for x in zip(*([p[0], np.cumsum(p[1]), *p[2:]] for p in parts)))
+        order = np.lexsort((gid, low, shingle))
+        shingle = shingle[order]
+        firsts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+        ends = np.append(firsts[1:], len(shingle))
+        split = np.isin(shingle[firsts], hot.astype(np.int64))
+        several = (ends - firsts > 1) | split
+        ordered = np.ascontiguousarray(gid[order])
+        weights: dict[tuple, int] = {}
+        where: dict[tuple, np.ndarray] = {}
+        for i, j, name in zip(firsts[several], ends[several], split[several]):
+            key = (int(shingle[i]) if name else None, ordered[i:j].tobytes())
+            weights[key] = weights.get(key, 0) + 1
+            where.setdefault(key, order[i:j])
+        lists = [[column[at] for at in where.values()] for column in (gid, low, low + span, rest)]
+        kind = pa.list_(pa.int64())
+        return pa.table({
+            **{name: pa.array(x, kind) for name, x in zip(("gids", "low", "high", "rest"), lists)},
+            "weight": pa.array(list(weights.values()), pa.int64()), "split": pa.array([k for k, _ in weights], pa.int64()),
+        })
+
+    return listed
+
+
+#: Words of 64 bits of the filter over a group's live lists.
+FILTER_WORDS = 8
+BITS = [f"bits{k}" for k in range(FILTER_WORDS)]
+MET = ["gid", "component", "low", "high", "rest", "live", "before", *BITS]
+
+
+def _meeting(one: dict[str, np.ndarray], two: dict[str, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """The pairs of a list's groups, or of two chunks of it, that could link by their sizes and by what is live of them.
+
+    Two groups share at most what is live of either, less the lists that its filter shows and the
+    other's doesn't. And if they share as much as a link needs, then the first list that they share
+    leaves enough behind it: a pair comes out there, and where it could be that list.
+    """
+    x = {c: v[np.argsort(one["low"], kind="stable")] for c, v in one.items()}
+    y = x if two is None else two
+    for at in range(0, len(x["gid"]), COMPARED):
+        a = {c: v[at : at + COMPARED, None] for c, v in x.items()}
+        b = {c: v[at:] for c, v in y.items()} if two is None else y
+        # Prefix shingles in common that a link needs.
+        wanted = needed(a["low"], b["low"]) - np.maximum(a["rest"], b["rest"])
+        could = (a["component"] != b["component"]) & (a["low"] * PERCENT <= b["high"] * 100) & (b["low"] * PERCENT <= a["high"] * 100)
+        could &= (a["live"] - a["before"] >= wanted) & (b["live"] - b["before"] >= wanted)
+        if two is None:
+            could &= np.arange(len(a["gid"]))[:, None] < np.arange(len(b["gid"]))
+        i, j = np.nonzero(could)
+        only_a, only_b = (sum(np.bitwise_count((p[c][m].ravel() & ~q[c][k].ravel()).view(np.uint64)).astype(np.int64) for c in BITS) for p, m, q, k in ((a, i, b, j), (b, j, a, i)))
+        share = np.minimum(a["live"][i, 0] - only_a, b["live"][j] - only_b) >= wanted[i, j]
+        one_, other = a["gid"][i[share], 0], b["gid"][j[share]]
+        if len(other):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one_, other)), pa.array(np.maximum(one_, other))], ["a", "b"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows with one or two arrays of groups."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            sides = [batch.column(c).slice(k, 1).flatten() for c in range(batch.num_columns)]
+            yield from _meeting(*([{c: s.field(c).to_numpy() for c in MET} for s in sides] + [None])[:2])
 
 
 def _matrix(table: pa.Table) -> pa.Table:
@@ -302,15 +372,11 @@ class _Join:
     def __init__(self, texts: DataFrame, sketch: DataFrame) -> None:
         self.texts, self.sketch = texts, sketch
 
-    def linked(self, pairs: DataFrame, seen_of: int = 1) -> DataFrame:
-        """The pairs of groups that hold a link, of the pairs a, b given with their bounds.
-
-        seen_of: the common shingles seen are taken for this part of all.
-        """
-        could = (100 + PERCENT) * (seen_of * F.col("common") + F.greatest("rest_a", "rest_b")) >= PERCENT * (F.col("low_a") + F.col("low_b"))
-        pairs = spool(pairs.where(could).select("a", "b"), "pairs")
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs of groups that hold a link, of the pairs a, b given."""
+        pairs = spool(pairs.select("a", "b"), "pairs")
         wanted = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
-        members = self.sketch.where("gid is not null").select("rid", "gid").join(wanted, "gid")
+        members = self.sketch.where("gid is not null and first").select("rid", "gid").join(wanted, "gid")
         matrices = spool(
             self.texts.join(members.hint("shuffle_hash"), "rid")
             .select("gid", "text")
@@ -326,6 +392,29 @@ class _Join:
         return found
 
 
+def _renamed(sketch: DataFrame, merged: DataFrame) -> DataFrame:
+    rows = sketch.where("gid is not null and first").select("rid", "gid", "first").join(merged.select("gid", "name"), "gid", "left")
+    return rows.select("rid", F.coalesce("name", "gid").alias("gid"), "first")
+
+
+def _met(named: DataFrame) -> DataFrame:
+    """The pairs of groups of different components that could link, from some of the lists they meet in."""
+    group, pair = F.collect_list(F.struct(*MET)).alias("g"), "a long, b long"
+    met = named.where(F.col("n_groups") <= LONGEST_LIST).groupBy("list").agg(group).select("g").mapInArrow(_meet, pair)
+    # Chunks of like sizes and like live shares, none longer than a list may be.
+    chunk = F.struct(
+        F.floor(F.log(1.15, F.col("low"))).alias("size"), F.floor(8 * F.least(F.col("live") / F.col("low"), F.lit(1.0))).alias("share"),
+        F.pmod(F.xxhash64("gid"), F.ceil(F.col("n_groups") / LONGEST_LIST)).alias("salt"),
+    )
+    bounds = [F.min("low").alias("low"), F.max("high").alias("high"), F.max("rest").alias("rest"), F.max("live").alias("live")]
+    long = named.where(F.col("n_groups") > LONGEST_LIST).withColumn("chunk", chunk).groupBy("list", "chunk").agg(*bounds, group)
+    x, y = (long.select("list", *[F.col(c).alias(f"{c}_{k}") for c in ("chunk", "low", "high", "rest", "live", "g")]) for k in "ab")
+    overlap = F.least("live_a", "live_b") + F.greatest("rest_a", "rest_b")
+    could = (F.col("low_a") * PERCENT <= F.col("high_b") * 100) & (F.col("low_b") * PERCENT <= F.col("high_a") * 100) & ((100 + PERCENT) * overlap >= PERCENT * (F.col("low_a") + F.col("low_b")))
+    apart = x.join(y, "list").where((F.col("chunk_a") < F.col("chunk_b")) & could)
+    return met.union(long.select("g").mapInArrow(_meet, pair)).union(apart.select("g_a", "g_b").mapInArrow(_meet, pair))
+
+
 def _pair(a: Column, b: Column) -> Column:
     return F.struct(*[x[c].alias(f"{c}_{k}") for x, k in ((a, "a"), (b, "b")) for c in ("gid", "low", "high", "rest")])
 
@@ -347,19 +436,21 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # Buckets by the bytes of text: about one shingle for 6 bytes, of which a quarter is prefix.
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 24 / BUCKET_SHINGLES))
-    schema = f"rid long, id {texts.schema['id'].dataType.simpleString()}, n long, gid long, bucket int, blob binary"
+    schema = f"rid long, id {texts.schema['id'].dataType.simpleString()}, n long, gid long, first boolean, bucket int, blob binary"
     sketch = spool(texts.mapInArrow(_sketch(order, n_buckets), schema), "sketch")
-    lists = sketch.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_lists, LISTS)
-    lists = lists.groupBy("gids").agg(*[F.first(c).alias(c) for c in ("low", "high", "rest")], F.sum("weight").alias("weight"))
-    lists = spool(lists.withColumn("list", F.monotonically_increasing_id()), "lists")
+    lists = sketch.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_lists(order.split), LISTS)
+    lists = lists.groupBy("gids", "split").agg(*[F.first(c).alias(c) for c in ("low", "high", "rest")], F.sum("weight").alias("weight"))
+    # Parts of one hot shingle's list have one number, below 0.
+    number = F.when(F.col("split").isNotNull(), -1 - F.shiftrightunsigned("split", 1)).otherwise(F.monotonically_increasing_id())
+    lists = spool(lists.withColumn("list", number), "lists")
     join = _Join(texts.select("rid", "text"), sketch)
 
     groups = F.arrays_zip(F.col("gids").alias("gid"), "low", "high", "rest")
     near = F.flatten(F.transform(groups, lambda a, i: F.transform(F.filter(F.slice(groups, i + 2, F.lit(NEAR)), lambda b: _fits(a, b)), lambda b: _pair(a, b))))
-    first = join.linked(_counted(lists.select("weight", F.inline(near))), SEEN_OF)
+    first = join.linked(_counted(lists.select("weight", F.inline(near))))
     component = spool(connected_components(first), "component")
     # Groups of one component become one group, or a few of bounded size, before all pairs are looked at.
-    sizes = sketch.where("gid is not null").groupBy("gid").agg(F.count(F.lit(1)).alias("k"))
+    sizes = sketch.where("gid is not null and first").groupBy("gid").agg(F.count(F.lit(1)).alias("k"))
     parts = sizes.join(component.withColumnRenamed("node", "gid"), "gid").select("gid", "component", "k")
     totals = parts.groupBy("component").agg(F.ceil(F.sum("k") / MOST_MEMBERS).alias("n"))
     parts = parts.join(totals, "component").withColumn("part", F.pmod(F.xxhash64("gid"), F.col("n")))
@@ -369,10 +460,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = named.withColumns({"component": F.coalesce("component", "gid"), "gid": F.coalesce("name", "gid")})
     named = named.groupBy("list", "gid").agg(F.first("weight").alias("weight"), F.first("component").alias("component"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("rest").alias("rest"))
     # A list whose groups are in one component already has nothing to add.
-    named = named.groupBy("list").agg(F.first("weight").alias("weight"), F.collect_list(F.struct("gid", "low", "high", "rest", "component")).alias("g"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    apart = F.flatten(F.transform("g", lambda a: F.transform(F.filter("g", lambda b: (a["gid"] < b["gid"]) & (a["component"] != b["component"]) & _fits(a, b)), lambda b: _pair(a, b))))
-    renamed = sketch.where("gid is not null").select("rid", "gid").join(merged.select("gid", "name"), "gid", "left").select("rid", F.coalesce("name", "gid").alias("gid"))
-    second = _Join(join.texts, renamed).linked(_counted(named.select("weight", F.inline(apart))))
+    mixed = named.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n_groups")).where("x <> y")
+    named = spool(named.join(mixed.select("list", "n_groups"), "list"), "named")
+    own = Window.partitionBy("gid")
+    place = F.pmod(F.xxhash64("list"), F.lit(64 * FILTER_WORDS)).cast("int")
+    bits = [F.bit_or(F.when(F.floor(place / 64) == k, F.expr("shiftleft(1L, CAST(pmod(xxhash64(list), 64) AS INT))")).otherwise(F.lit(0).cast("long"))).over(own).alias(c) for k, c in enumerate(BITS)]
+    before = F.sum("weight").over(own.orderBy("list")) - F.col("weight")
+    live = named.select("*", F.sum("weight").over(own).alias("live"), before.alias("before"), *bits)
+    second = _Join(join.texts, _renamed(sketch, merged)).linked(_met(live).distinct())
     component = connected_components(first.union(second))
     rows = sketch.where("bucket is null").select("rid", "id", "n", "gid").join(component.withColumnRenamed("node", "gid"), "gid", "left")
     return spool(rows.select("rid", "id", "n", F.coalesce("component", "gid").alias("component")), "rows")
@@ -414,10 +509,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _counted(meetings: DataFrame) -> DataFrame:
-    """Pairs of groups with the number of prefix shingles at which they meet."""
-    return meetings.groupBy(F.col("gid_a").alias("a"), F.col("gid_b").alias("b")).agg(
-        F.sum("weight").alias("common"), F.min("low_a").alias("low_a"), F.min("low_b").alias("low_b"), F.max("rest_a").alias("rest_a"), F.max("rest_b").alias("rest_b")
+    """The pairs of groups that could link by the prefix shingles at which they meet, taken for 1 of SEEN_OF."""
+    pairs = meetings.groupBy(F.col("gid_a").alias("a"), F.col("gid_b").alias("b")).agg(
+        F.sum("weight").alias("common"), *[F.min(c).alias(c) for c in ("low_a", "low_b")], *[F.max(c).alias(c) for c in ("rest_a", "rest_b")]
     )
+    return pairs.where((100 + PERCENT) * (SEEN_OF * F.col("common") + F.greatest("rest_a", "rest_b")) >= PERCENT * (F.col("low_a") + F.col("low_b")))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,9 +124,12 @@ def families(rng):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_equal_brute_force(tables, seed, monkeypatch):
+@pytest.mark.parametrize("seed, longest", [(1, 1 << 15), (2, 1 << 15), (3, 2), (4, 5)])
+def test_near_duplicates_equal_brute_force(tables, seed, longest, monkeypatch):
     monkeypatch.setattr(ngram_join, "COMMON", 4)
+    monkeypatch.setattr(ngram_join, "LONGEST_LIST", longest)  # short ones split hot shingles into parts, and lists into chunks
+    monkeypatch.setattr(ngram_join, "COMPARED", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4000)
     rows = families(random.Random(seed))
     docs = tables["stored"]([(i, t, None, None, None) for i, t in rows], f"near{seed}")
     wanted = brute(rows)
@@ -136,6 +139,42 @@ def test_near_duplicates_equal_brute_force(tables, seed, monkeypatch):
     assert stay == sorted(i for i, (n, c) in wanted.items() if c == i)
 
 
+def test_a_family_that_shares_half_its_shingles(tables, monkeypatch):
+    """2,000 texts with about half their shingles in common, and a few that link: no pairs of the others are spelled out."""
+    rng = random.Random(9)
+    base = prose(rng, 120, 100_000).split()
+    texts = []
+    for i in range(2000):
+        words_ = list(base)
+        for _ in range(2 if i % 100 == 0 else 12):
+            words_[rng.randrange(len(words_))] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(words_))
+    pairs = []
+    met = ngram_join._met
+    monkeypatch.setattr(ngram_join, "_met", lambda named: pairs.append(met(named)) or pairs[0])
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 1 << 16)
+    docs = tables["stored"]([(i, t, None, None, None) for i, t in enumerate(texts)], "family")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs.select("doc_id", "text")).collect()}
+    numbers = {}
+    sets = [np.unique([numbers.setdefault(tuple(w[k : k + 5]), len(numbers)) for k in range(len(w) - 4)]) for w in map(str.split, texts)]
+    bits = np.zeros((len(sets), len(numbers)), dtype=np.float32)
+    for i, x in enumerate(sets):
+        bits[i, x] = 1
+    common, n = bits @ bits.T, np.array([len(x) for x in sets])
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in np.argwhere(np.triu(100 * common >= 75 * (n[:, None] + n - common), 1)):
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in range(len(sets))}
+    assert pairs[0].count() < 10 * len(texts)
+
+
 def test_near_duplicates_on_odd_rows(tables):
     got = ngram_join.near_duplicates(tables["odd"])
     assert got.columns == ["doc_id", "lang", "Keep_ID", "kept", *ngram_join.ADDED] and got.count() == len(ODD)
