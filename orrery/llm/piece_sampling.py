@@ -6,18 +6,23 @@ no piece covers. Forward filtering sums the weights of all segmentations up to e
 backward sampling then draws, from the end, each piece in proportion to the weight of all
 segmentations it completes. So a segmentation is drawn with its exact share.
 
-Draws come from a generator seeded by the row's key and a seed alone: the same row gets the same
-pieces wherever and however often it is computed. Spaces are the only characters rewritten, and
-a text's own U+2581 goes by bytes, so that decoding gives back the very text.
+All units of a slice of texts go through both steps together, as arrays: a trie finds the pieces
+that end at each character, the sums go forward one character of all units at a time, and the
+draws go back one piece of all units at a time. Units longer than LONGEST characters are cut
+where no piece could reach across, and what is still longer has a lattice of its own.
+
+The draw that ends at a place of a text is a hash of the row's key, the seed and that place alone:
+the same row gets the same pieces wherever and however often it is computed. Spaces are the only
+characters rewritten, and a text's own U+2581 goes by bytes, so that decoding gives back the very
+text.
 """
 
 from __future__ import annotations
 
 import math
-import random
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -27,47 +32,78 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import documents, without
+from orrery.llm.shared import Names, documents, mix, struct_of, text_slices, without
 
 SPACE = "▁"
 #: A piece of rank r in the vocabulary weighs (r + 1) ** -SHARPNESS. A higher one keeps to frequent pieces.
 SHARPNESS = 1.0
 SEED = 7
-MOST_UNITS, LONGEST_KEPT = 120_000, 40
+#: Text bytes whose units are handled together, and characters of a unit in the arrays.
+SLICE_BYTES, LONGEST = 1 << 18, 64
 ADDED = ["pieces"]
 
 
 class Vocabulary:
+    """Pieces with their weights, as a dictionary and as a trie in arrays. A space stands for the mark."""
+
     def __init__(self, path: str, sharpness: float = SHARPNESS) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces: dict[str, tuple[tuple[int, ...], float]] = {}
+        self.pieces: dict[str, tuple[int, float]] = {}
         self.bytes: list[bytes] = []
-        byte_ids = [0] * 256
+        self.byte_ids = np.zeros(256, dtype=np.int32)
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
-                byte_ids[int(piece[3:5], 16)] = i
+                self.byte_ids[int(piece[3:5], 16)] = i
                 self.bytes.append(bytes([int(piece[3:5], 16)]))
                 continue
             self.bytes.append(piece.replace(SPACE, " ").encode())
-            if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.pieces[piece] = ((i,), (1.0 - model.get_score(i)) ** -sharpness)
-        self.byte_ids = byte_ids
+            usable = not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
+            if usable and SPACE not in piece[1:]:  # units hold a space at their beginning only
+                self.pieces[piece.replace(SPACE, " ")] = (i, (1.0 - model.get_score(i)) ** -sharpness)
         self.byte_weight = (1.0 + len(self.pieces)) ** -sharpness
         #: Neighbouring characters that some piece holds side by side. A lattice falls apart between others.
         self.bigrams = {piece[k : k + 2] for piece in self.pieces for k in range(len(piece) - 1)}
-        #: Beginnings of pieces; a whole piece with its ids and tilted weight.
-        self.trie: dict[str, tuple] = {piece[:k]: () for piece in self.pieces for k in range(1, len(piece))}
-        self.trie |= {piece: (ids, w * Lattice.TILT ** len(piece)) for piece, (ids, w) in self.pieces.items()}
+        self.longest = max(map(len, self.pieces))
+        nodes = {"": 0}
+        for piece in sorted(self.pieces):
+            for k in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:k], len(nodes))
+        self.step = np.full((len(nodes), 128), -1, dtype=np.int32)
+        self.ids, self.weights = np.full(len(nodes), -1, dtype=np.int32), np.zeros(len(nodes))
+        wide: dict[int, int] = {}
+        for text, node in nodes.items():
+            if text:
+                up, code = nodes[text[:-1]], ord(text[-1])
+                if code < 128:
+                    self.step[up, code] = node
+                else:
+                    wide[up << 21 | code] = node
+                if text in self.pieces:
+                    self.ids[node], self.weights[node] = self.pieces[text]
+        #: Steps by other characters: node << 21 | character, sorted, and where they lead.
+        self.wide = np.array(sorted(wide), dtype=np.int64)
+        self.wide_to = np.array([wide[k] for k in sorted(wide)], dtype=np.int32)
+
+    def follow(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The nodes that characters lead to, -1 where none."""
+        to = np.full(len(nodes), -1, dtype=np.int32)
+        plain = codes < 128
+        to[plain] = self.step[nodes[plain], codes[plain]]
+        if len(self.wide) and not plain.all():
+            keys = nodes[~plain].astype(np.int64) << 21 | codes[~plain]
+            at = np.minimum(np.searchsorted(self.wide, keys), len(self.wide) - 1)
+            to[~plain] = np.where(self.wide[at] == keys, self.wide_to[at], -1)
+        return to
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode()
 
 
 class Lattice:
-    """For each place of a unit: the running sums of weights, beginnings and ids of the pieces that end there.
+    """One unit of any length: for each place the running sums of weights, beginnings and ids of the pieces that end there.
 
     A piece's weight comes with that of all segmentations up to its beginning. Both are scaled by
     TILT for each character, which all segmentations share, and every BLOCK characters by the
@@ -75,129 +111,194 @@ class Lattice:
     """
 
     TILT, BLOCK = 20.0, 64
-    #: A short unit with up to so many segmentations has them listed, and takes one draw.
-    LISTED, SHORT = 64, 8
 
-    def __init__(self, unit: str, spaced: bool, vocabulary: Vocabulary) -> None:
-        """spaced: the unit begins with a mark that stands for a space."""
-        n = len(unit)
+    def __init__(self, unit: str, vocabulary: Vocabulary) -> None:
+        n, longest = len(unit), vocabulary.longest
         sums: list[list[float]] = [[] for _ in range(n + 1)]
         starts: list[list[int]] = [[] for _ in range(n + 1)]
-        ids: list[list[tuple[int, ...]]] = [[] for _ in range(n + 1)]
+        ids: list[list[int]] = [[] for _ in range(n + 1)]
         sums[0].append(1.0)
-        get, self.log_scale = vocabulary.trie.get, -n * math.log(self.TILT)
+        self.log_scale = -n * math.log(self.TILT)
+        pieces = vocabulary.pieces
         for i, ch in enumerate(unit):
             so_far = sums[i][-1]
-            own = ch == SPACE and (i or not spaced)  # a mark of the text's own is no space
-            found, j = False, i + 1
-            while not own and j <= n and (node := get(unit[i:j])) is not None and (j == i + 1 or unit[j - 1] != SPACE):
-                if node:
-                    found = found or j == i + 1
+            for j in range(i + 1, min(n, i + longest) + 1):
+                piece = pieces.get(unit[i:j])
+                if piece is None and j == i + 1:
+                    piece = (-1 - ord(ch), vocabulary.byte_weight ** len(ch.encode()))
+                if piece is not None:
                     at = sums[j]
-                    at.append((at[-1] if at else 0.0) + so_far * node[1])
+                    at.append((at[-1] if at else 0.0) + so_far * piece[1] * self.TILT ** (j - i))
                     starts[j].append(i)
-                    ids[j].append(node[0])
-                j += 1
-            if not found:
-                by_bytes = tuple([vocabulary.byte_ids[b] for b in ch.encode()])
-                at = sums[i + 1]
-                at.append((at[-1] if at else 0.0) + so_far * vocabulary.byte_weight ** len(by_bytes) * self.TILT)
-                starts[i + 1].append(i)
-                ids[i + 1].append(by_bytes)
+                    ids[j].append(piece[0])
             if i % self.BLOCK == self.BLOCK - 1:
-                top = max(at[-1] for at in sums[i + 1 : i + 18] if at)
-                for k in range(i + 1, min(n + 1, i + 18)):
+                top = max(at[-1] for at in sums[i + 1 : i + 1 + longest] if at)
+                for k in range(i + 1, min(n, i + longest) + 1):
                     sums[k] = [x / top for x in sums[k]]
                 self.log_scale += math.log(top)
         self.sums, self.starts, self.ids = sums, starts, ids
-        self.paths = self._paths() if n <= self.SHORT else None
-
-    def _paths(self) -> tuple[list[float], list[tuple[int, ...]]] | None:
-        """All segmentations with their running shares, if they are few."""
-        upto: list[list[tuple[tuple[int, ...], float]]] = [[((), 1.0)]]
-        for at in range(1, len(self.sums)):
-            here, last = [], 0.0
-            for so_far, start, ids in zip(self.sums[at], self.starts[at], self.ids[at]):
-                share = (so_far - last) / self.sums[at][-1]
-                here += [(path + ids, share * w) for path, w in upto[start]]
-                last = so_far
-            if len(here) > self.LISTED:
-                return None
-            upto.append(here)
-        shares, running = [], 0.0
-        for _, w in upto[-1][:-1]:
-            running += w
-            shares.append(running)
-        return shares, [path for path, _ in upto[-1]]
 
     @property
     def log_sum(self) -> float:
         return math.log(self.sums[-1][-1]) + self.log_scale
 
-    def draw(self, uniform, into: list[int]) -> None:
-        """Adds the ids of a segmentation drawn from all of them."""
-        if self.paths:
-            shares, paths = self.paths
-            into += paths[bisect_right(shares, uniform())] if shares else paths[0]
-            return
+    def draw(self, uniform: Callable[[int], float]) -> list[int]:
+        """The ids of a segmentation drawn from all of them; below 0 a character that goes by bytes. uniform gives the draw for a place."""
         sums, starts, ids = self.sums, self.starts, self.ids
         at, drawn = len(sums) - 1, []
         while at:
             here = sums[at]
-            last = len(here) - 1
-            k = min(bisect_right(here, uniform() * here[last]), last) if last else 0
+            # The longest piece comes first here and last in the arrays of Units.
+            k = min(bisect_right(here, (1.0 - uniform(at)) * here[-1]), len(here) - 1)
             drawn.append(ids[at][k])
             at = starts[at][k]
-        for part in reversed(drawn):
-            into += part
+        return drawn[::-1]
+
+
+class Units:
+    """Distinct units of up to LONGEST characters with, for each character, the shares of the pieces that end there."""
+
+    def __init__(self, units: list[str], vocabulary: Vocabulary) -> None:
+        self.sizes = np.array([len(u) for u in units], dtype=np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        n, most = len(codes), vocabulary.longest
+        owner = np.repeat(np.arange(len(units)), self.sizes)
+        end = (self.first + self.sizes)[owner]
+        weights, self.ids = np.zeros((n, most)), np.zeros((n, most), dtype=np.int32)
+        start, node = np.arange(n), np.zeros(n, dtype=np.int32)
+        for k in range(most):
+            inside = start + k < end[start]
+            start, node = start[inside], node[inside]
+            node = vocabulary.follow(node, codes[start + k])
+            known = node >= 0
+            start, node = start[known], node[known]
+            if not len(start):
+                break
+            whole = vocabulary.ids[node] >= 0
+            weights[start[whole] + k, k] = vocabulary.weights[node[whole]]
+            self.ids[start[whole] + k, k] = vocabulary.ids[node[whole]]
+        # A character that is no piece goes by its bytes.
+        alone = weights[:, 0] == 0
+        n_bytes = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+        weights[alone, 0] = vocabulary.byte_weight ** n_bytes[alone]
+        self.ids[alone, 0] = -1 - codes[alone]
+        weights *= Lattice.TILT ** np.arange(1, most + 1)
+        # The sum of all segmentations up to each place; `most` zeros stand before a unit's first place.
+        room = most + 1
+        sums = np.zeros(n + room * len(units))
+        base = self.first + room * np.arange(len(units)) + most
+        sums[base] = 1.0
+        by_size = np.argsort(-self.sizes, kind="stable")
+        back = -np.arange(1, most + 1)
+        for r in range(1, int(self.sizes.max(initial=0)) + 1):
+            rows = by_size[: np.searchsorted(-self.sizes[by_size], -r, side="right")]
+            at, place = self.first[rows] + r - 1, base[rows] + r
+            parts = weights[at] * sums[place[:, None] + back]
+            running = np.cumsum(parts, axis=1)
+            sums[place] = running[:, -1]
+            weights[at] = running / running[:, -1:]
+        self.shares = weights
+
+    def draw(self, unit: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For occurrences of units, with their rows' keys and their places in their texts: the pieces drawn from the end on.
+
+        Returns the occurrence, the step from the end and the id of each.
+        """
+        left, active = self.sizes[unit], np.arange(len(unit))
+        drawn, step = [], 0
+        while len(active := active[left[active] > 0]):
+            at = self.first[unit[active]] + left[active] - 1
+            x = uniform(key[active], place[active] + left[active])
+            k = np.minimum((self.shares[at] <= x[:, None]).sum(axis=1), self.shares.shape[1] - 1)
+            drawn.append((active, np.full(len(active), step), self.ids[at, k]))
+            left[active] -= k + 1
+            step += 1
+        return tuple(np.concatenate(x) for x in zip(*drawn)) if drawn else (np.zeros(0, dtype=np.int64),) * 3
+
+
+def uniform(key, place):
+    """The draw of a row for a place of its text, in [0, 1)."""
+    with np.errstate(over="ignore"):
+        h = mix(np.asarray(key, dtype=np.uint64) + np.asarray(place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
 class Sampler:
     def __init__(self, vocabulary: Vocabulary, seed: int = SEED) -> None:
         self.vocabulary, self.seed = vocabulary, seed
-        self.units: tuple[dict[str, list[Lattice]], ...] = ({}, {})
-        self.parts: tuple[dict[str, Lattice], ...] = ({}, {})
-
-    def lattices(self, unit: str, spaced: bool) -> list[Lattice]:
-        """The lattices of a unit's parts: cut where no piece could reach across, they draw as one."""
-        units = self.units[spaced]
-        found = units.get(unit)
-        if found is None:
-            marked = SPACE + unit if spaced else unit
-            bigrams, cuts = self.vocabulary.bigrams, [0]
-            for k in range(1, len(marked)):
-                if marked[k - 1 : k + 1] not in bigrams or (marked[k] == SPACE):
-                    cuts.append(k)
-            cuts.append(len(marked))
-            found = [self._part(marked[a:b], spaced and not a) for a, b in zip(cuts, cuts[1:])]
-            if len(unit) <= LONGEST_KEPT:
-                if len(units) >= MOST_UNITS:
-                    units.clear()
-                units[unit] = found
-        return found
-
-    def _part(self, part: str, spaced: bool) -> Lattice:
-        parts = self.parts[spaced]
-        found = parts.get(part)
-        if found is None:
-            found = Lattice(part, spaced, self.vocabulary)
-            if len(part) <= LONGEST_KEPT:
-                if len(parts) >= MOST_UNITS:
-                    parts.clear()
-                parts[part] = found
-        return found
+
+    def key(self, key: str) -> int:
+        return xxhash.xxh3_64_intdigest(key.encode(errors="replace"), self.seed)
+
+    def _cut(self, unit: str) -> list[str]:
+        """A long unit's parts: no piece could reach across, so they draw as one."""
+        bigrams, cuts = self.vocabulary.bigrams, [0]
+        cuts += [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in bigrams]
+        return [unit[a:b] for a, b in zip(cuts, [*cuts[1:], len(unit)])]
+
+    def encode_all(self, texts: list[str], keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled piece ids of all texts in one array, and the number of each text's."""
+        known: dict[str, int] = {}
+        unit, row, place = [], [], []
+        long: list[tuple[int, str]] = []  # occurrences with a lattice of their own
+        hashes = np.array([self.key(k) for k in keys], dtype=np.uint64)
+        found, counts, size = [], np.zeros(len(texts), dtype=np.int64), 0
+
+        def flush() -> None:
+            ids, rows = self._drawn(list(known), *(np.array(x, dtype=np.int64) for x in (unit, row, place)), long, hashes)
+            found.append(ids)
+            counts[: len(texts)] += np.bincount(rows, minlength=len(texts))
+            for x in (known, unit, row, place, long):
+                x.clear()
+
+        for i, text in enumerate(texts):
+            at = 0
+            for j, word in enumerate(text.split(" ")):
+                part = " " + word if j else word
+                for x in [part] if len(part) <= LONGEST else self._cut(part):
+                    if len(x) > LONGEST:
+                        long.append((len(unit), x))
+                        unit.append(-1)
+                        size += len(x)
+                    elif x:
+                        unit.append(known.setdefault(x, len(known)))
+                        size += len(x)
+                    else:
+                        continue
+                    row.append(i)
+                    place.append(at)
+                    at += len(x)
+                if size >= SLICE_BYTES:
+                    flush()
+                    size = 0
+        flush()
+        return np.concatenate(found), counts
+
+    def _drawn(self, known: list[str], unit: np.ndarray, row: np.ndarray, place: np.ndarray, long: list[tuple[int, str]], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids drawn for occurrences of units, in their order, and the row of each."""
+        short = np.flatnonzero(unit >= 0)
+        which, step, ids = Units(known, self.vocabulary).draw(unit[short], hashes[row[short]], place[short])
+        parts = [(short[which], -step, ids.astype(np.int64))]
+        for occurrence, text in long:
+            draws = uniform(hashes[row[occurrence]], place[occurrence] + np.arange(len(text) + 1))
+            drawn = Lattice(text, self.vocabulary).draw(draws.__getitem__)
+            parts.append((np.full(len(drawn), occurrence), np.arange(len(drawn)), np.array(drawn, dtype=np.int64)))
+        which, step, ids = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((step, which))
+        ids, rows = ids[order], row[which[order]]
+        by_bytes = np.flatnonzero(ids < 0)
+        if len(by_bytes):
+            spelled = [np.frombuffer(chr(-1 - c).encode(), dtype=np.uint8) for c in ids[by_bytes].tolist()]
+            sizes = np.ones(len(ids), dtype=np.int64)
+            sizes[by_bytes] = [len(b) for b in spelled]
+            ids, rows, bytewise = np.repeat(ids, sizes), np.repeat(rows, sizes), np.repeat(ids < 0, sizes)
+            ids[bytewise] = self.vocabulary.byte_ids[np.concatenate(spelled)]
+        return ids.astype(np.int32), rows
 
     def encode(self, text: str, key: str) -> list[int]:
         """Sampled piece ids of a text, the same for the same key and seed."""
-        uniform = random.Random(xxhash.xxh3_128_intdigest(key.encode(errors="replace"), self.seed)).random
-        ids: list[int] = []
-        spaced = False
-        for unit in text.split(" "):
-            if unit or spaced:
-                for part in self.lattices(unit, spaced):
-                    part.draw(uniform, ids)
-            spaced = True
-        return ids
+        return self.encode_all([text], [key])[0].tolist()
 
 
 @cache
@@ -207,12 +308,12 @@ def _sampler(path: str, seed: int) -> Sampler:
 
 def _encoded(path: str, seed: int):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _sampler(path, seed).encode
+        sampler = _sampler(path, seed)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [encode(t, k) for t, k in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), part.column(2)], ["pieces", "row"])
+            for a, b, texts in text_slices(batch, 0, SLICE_BYTES):
+                ids, counts = sampler.encode_all([t.decode() for t in texts], batch.column(1).slice(a, b - a).to_pylist())
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), batch.column(2).slice(a, b - a)], ["pieces", "row"])
 
     return encoded
 
@@ -225,44 +326,47 @@ def encode(docs: DataFrame, model_path: str, seed: int = SEED, id_col: str = "do
     """Every row of docs, less its text, with an array of piece ids.
 
     A null or empty text has no pieces. The key is the id as text; rows that repeat an id draw
-    alike, and null ids share one key. A column named pieces is replaced. An empty table gives an
-    empty table.
+    alike, and null ids share one key. A column named pieces, in any case, is replaced; all other
+    names are free. An empty table gives an empty table.
     """
-    own = [F.col(f"`{c}`") for c in without(docs, [text_col, *ADDED]).columns]
-    packed = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), _key(id_col), F.struct(*own).alias("row"))
-    return packed.mapInArrow(_encoded(model_path, seed), f"pieces array<int>, row {packed.schema['row'].dataType.simpleString()}").select("row.*", "pieces")
+    own = without(docs, [text_col, *ADDED]).columns
+    names = Names(own)
+    packed = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), _key(id_col).alias("key"), names.pack().alias("row"))
+    return packed.mapInArrow(_encoded(model_path, seed), struct_of(packed, pieces="array<int>")).select(*names.unpack(), "pieces")
 
 
 def decode(docs: DataFrame, model_path: str, pieces_col: str = "pieces", text_col: str = "text") -> DataFrame:
-    """docs with the text that each array of piece ids spells; null pieces give a null text."""
+    """docs with the text that each array of piece ids spells.
+
+    Null pieces give a null text, no pieces an empty one. A column named like text_col is
+    replaced; all other names are free. An empty table gives an empty table.
+    """
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _sampler(model_path, SEED).vocabulary
         for batch in batches:
-            texts = [None if ids is None else vocabulary.decode(ids) for ids in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], ["text", "row"])
-
-    own = [F.col(f"`{c}`") for c in without(docs, [text_col]).columns]
-    packed = docs.select(F.col(f"`{pieces_col}`"), F.struct(*own).alias("row"))
-    return packed.mapInArrow(decoded, f"text string, row {packed.schema['row'].dataType.simpleString()}").select("row.*", F.col("text").alias(text_col))
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = [None if ids is None else vocabulary.decode(ids) for ids in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column(1)], ["text", "row"])
 
+    names = Names(without(docs, [text_col]).columns)
+    packed = docs.select(F.col(f"`{pieces_col}`").alias("pieces"), names.pack().alias("row"))
+    return packed.mapInArrow(decoded, struct_of(packed, text="string")).select(*names.unpack(), F.col("text").alias(text_col))
 
-def _checked(path: str, seed: int):
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = _sampler(path, seed)
-        for batch in batches:
-            counts, crcs, same = [], [], []
-            for text, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = sampler.encode(text, key)
-                counts.append(len(ids))
-                crcs.append(zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
-                same.append(sampler.vocabulary.decode(ids) == text)
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "lossless"])
 
-    return checked
+def _crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pieces = batch.column(0)
+        ids, ends = pieces.values.to_numpy().astype("<u4"), pieces.offsets.to_numpy()
+        crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64()), batch.column(2)], ["doc_id", "n_pieces", "ids_crc32", "lossless"])
 
 
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(F.coalesce("text", F.lit("")), _key("doc_id"), "doc_id")
+    """Number and checksum of each document's sampled pieces, and whether decoding them gives back the text (null: empty)."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return docs.mapInArrow(_checked(path, SEED), "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = decode(encode(docs.withColumn("original", F.col("text")), path), path)
+    rows = back.select("pieces", "doc_id", (F.col("text") == F.col("original")).alias("lossless"))
+    return rows.mapInArrow(_crcs, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The six ASCII white-space bytes that separate words: \x20 and \x09-\x0D.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -84,6 +85,25 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+class Names:
+    """Columns under numbers while an operator has columns of its own, so that no name of theirs can clash or needs quoting."""
+
+    def __init__(self, columns: list[str]) -> None:
+        self.columns = columns
+
+    def pack(self) -> Column:
+        """The columns as one struct, never an empty one."""
+        return F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(self.columns)])
+
+    def unpack(self, struct: str = "row") -> list[Column]:
+        return [F.col(struct)[f"c{i}"].alias(c) for i, c in enumerate(self.columns)]
+
+
+def struct_of(df: DataFrame, **added: str) -> StructType:
+    """A schema of the added columns, in their order, and df's column row."""
+    return StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in added.items())).add(df.schema["row"])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Texts of ASCII alone take the quicker way."""
     plain = F.octet_length(text) == F.char_length(text)
