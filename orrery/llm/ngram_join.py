@@ -54,7 +54,7 @@ COMMON = 8
 #: Shingles that a task counts together.
 COUNTED_SHINGLES = 3_000_000
 #: Text bytes of a block, in which groups are formed, and prefix shingles of a bucket.
-BLOCK_BYTES, BUCKET_SHINGLES = 3 << 19, 500_000
+BLOCK_BYTES, BUCKET_SHINGLES = 3 << 19, 1_000_000
 #: Prefix shingles that a task deals out at once.
 DEALT_SHINGLES = 300_000
 #: Groups of a list that one task looks at together, and rows of them that are compared with the others at once.
@@ -258,6 +258,18 @@ def _sketch(order: Order, n_buckets: int):
 LISTS = "gids array<long>, low array<long>, high array<long>, rest array<long>, weight long, split long"
 
 
+def _met_sizes(shingle: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether each entry has another of its shingle that is near enough in size, of entries by shingle and least size."""
+    near = (shingle[1:] == shingle[:-1]) & (low[1:] * PERCENT <= high[:-1] * 100)
+    # An entry of wide range may reach past its neighbour, so runs of entries are told apart by the greatest size so far.
+    if (high > low).any():
+        new = np.append(True, shingle[1:] != shingle[:-1])
+        step = high.max() + 1
+        so_far = np.maximum.accumulate(np.cumsum(new) * step + high) - np.cumsum(new) * step
+        near = (shingle[1:] == shingle[:-1]) & (low[1:] * PERCENT <= so_far[:-1] * 100)
+    return np.append(False, near) | np.append(near, False)
+
+
 def _lists(hot: np.ndarray):
     """The groups that have a shingle of a bucket in common, by size; equal lists once, with the number of their shingles. A list of a hot shingle names it."""
 
@@ -265,6 +277,8 @@ def _lists(hot: np.ndarray):
         parts = [_unpack(b, 5) for b in table.column("blob").to_pylist()]
         shingle, gid, low, span, rest = (np.concatenate(x) for x in zip(*([p[0], np.cumsum(p[1]), *p[2:]] for p in parts)))
         order = np.lexsort((gid, low, shingle))
+        elsewhere = np.isin(shingle, hot.astype(np.int64))  # other parts of the list are in other buckets
+        order = order[_met_sizes(shingle[order], low[order], (low + span)[order]) | elsewhere[order]]
         shingle = shingle[order]
         firsts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
         ends = np.append(firsts[1:], len(shingle))
@@ -433,9 +447,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toPandas()
     )
     order = Order(common["shingle"].to_numpy().astype(np.uint64), common["n"].to_numpy())
-    # Buckets by the bytes of text: about one shingle for 6 bytes, of which a quarter is prefix.
+    # Buckets by the bytes of text: about one shingle for 6 bytes, of which a quarter is prefix. As few as
+    # a task's memory allows, since equal lists fold within a bucket.
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 24 / BUCKET_SHINGLES))
+    n_buckets = max(1, math.ceil(size / 24 / BUCKET_SHINGLES))
     schema = f"rid long, id {texts.schema['id'].dataType.simpleString()}, n long, gid long, first boolean, bucket int, blob binary"
     sketch = spool(texts.mapInArrow(_sketch(order, n_buckets), schema), "sketch")
     lists = sketch.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_lists(order.split), LISTS)
