@@ -20,6 +20,7 @@ text.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -40,6 +41,9 @@ SHARPNESS = 1.0
 SEED = 7
 #: Text bytes whose units are handled together, and characters of a unit in the arrays.
 SLICE_BYTES, LONGEST = 1 << 18, 64
+#: Units of a long text that are looked up at once.
+MOST_WORDS = 1 << 15
+_UNIT = re.compile(r" [^ ]*|[^ ]+")
 ADDED = ["pieces"]
 
 
@@ -156,49 +160,55 @@ class Lattice:
 
 
 class Units:
-    """Distinct units of up to LONGEST characters with, for each character, the shares of the pieces that end there."""
+    """Distinct units of up to LONGEST characters with, for each character, the shares of the pieces that end there.
+
+    Characters lie by their place in the unit, then by unit, longest first: those of one place, and
+    those before them, are ranges of arrays.
+    """
 
     def __init__(self, units: list[str], vocabulary: Vocabulary) -> None:
         self.sizes = np.array([len(u) for u in units], dtype=np.int64)
-        self.first = np.cumsum(self.sizes) - self.sizes
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        n, most = len(codes), vocabulary.longest
-        owner = np.repeat(np.arange(len(units)), self.sizes)
-        end = (self.first + self.sizes)[owner]
-        weights, self.ids = np.zeros((n, most)), np.zeros((n, most), dtype=np.int32)
-        start, node = np.arange(n), np.zeros(n, dtype=np.int32)
+        by_size = np.argsort(-self.sizes, kind="stable")
+        self.rank = np.empty_like(by_size)
+        self.rank[by_size] = np.arange(len(by_size))
+        sizes, longest, most = self.sizes[by_size], int(self.sizes.max(initial=0)), vocabulary.longest
+        rows = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")  # units with a character at each place
+        self.first = np.cumsum(rows) - rows
+        n = int(rows.sum())
+        owner = np.repeat(self.rank, self.sizes)
+        nth = np.arange(n) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        codes = np.empty(n, dtype=np.int64)
+        codes[self.first[nth] + owner] = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32)
+        weights, self.ids, node = np.zeros((n, most)), np.zeros((n, most), dtype=np.int32), np.zeros(n, dtype=np.int32)
         for k in range(most):
-            inside = start + k < end[start]
-            start, node = start[inside], node[inside]
-            node = vocabulary.follow(node, codes[start + k])
+            inside = nth + k < sizes[owner]
+            owner, nth, node = owner[inside], nth[inside], node[inside]
+            at = self.first[nth + k] + owner
+            node = vocabulary.follow(node, codes[at])
             known = node >= 0
-            start, node = start[known], node[known]
-            if not len(start):
+            owner, nth, node, at = owner[known], nth[known], node[known], at[known]
+            if not len(at):
                 break
             whole = vocabulary.ids[node] >= 0
-            weights[start[whole] + k, k] = vocabulary.weights[node[whole]]
-            self.ids[start[whole] + k, k] = vocabulary.ids[node[whole]]
+            weights[at[whole], k] = vocabulary.weights[node[whole]]
+            self.ids[at[whole], k] = vocabulary.ids[node[whole]]
         # A character that is no piece goes by its bytes.
-        alone = weights[:, 0] == 0
-        n_bytes = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
-        weights[alone, 0] = vocabulary.byte_weight ** n_bytes[alone]
+        alone = np.flatnonzero(weights[:, 0] == 0)
+        n_bytes = 1 + (codes[alone] >= 0x80) + (codes[alone] >= 0x800) + (codes[alone] >= 0x10000)
+        weights[alone, 0] = vocabulary.byte_weight**n_bytes
         self.ids[alone, 0] = -1 - codes[alone]
-        weights *= Lattice.TILT ** np.arange(1, most + 1)
-        # The sum of all segmentations up to each place; `most` zeros stand before a unit's first place.
-        room = most + 1
-        sums = np.zeros(n + room * len(units))
-        base = self.first + room * np.arange(len(units)) + most
-        sums[base] = 1.0
-        by_size = np.argsort(-self.sizes, kind="stable")
-        back = -np.arange(1, most + 1)
-        for r in range(1, int(self.sizes.max(initial=0)) + 1):
-            rows = by_size[: np.searchsorted(-self.sizes[by_size], -r, side="right")]
-            at, place = self.first[rows] + r - 1, base[rows] + r
-            parts = weights[at] * sums[place[:, None] + back]
-            running = np.cumsum(parts, axis=1)
-            sums[place] = running[:, -1]
-            weights[at] = running / running[:, -1:]
-        self.shares = weights
+        # The sums of all segmentations up to each place, and the running shares of the pieces that end there.
+        sums, self.shares = [np.ones(len(units))], np.ones((n, most))
+        for r, (a, m) in enumerate(zip(self.first.tolist(), rows.tolist()), 1):
+            wide = min(r, most)
+            running = np.empty((wide, m))
+            for k in range(wide):
+                np.multiply(weights[a : a + m, k], sums[r - 1 - k][:m] * Lattice.TILT ** (k + 1), out=running[k])
+                if k:
+                    running[k] += running[k - 1]
+            sums.append(running[-1].copy())
+            running /= running[-1]
+            self.shares[a : a + m, :wide] = running.T
 
     def draw(self, unit: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For occurrences of units, with their rows' keys and their places in their texts: the pieces drawn from the end on.
@@ -208,7 +218,7 @@ class Units:
         left, active = self.sizes[unit], np.arange(len(unit))
         drawn, step = [], 0
         while len(active := active[left[active] > 0]):
-            at = self.first[unit[active]] + left[active] - 1
+            at = self.first[left[active] - 1] + self.rank[unit[active]]
             x = uniform(key[active], place[active] + left[active])
             k = np.minimum((self.shares[at] <= x[:, None]).sum(axis=1), self.shares.shape[1] - 1)
             drawn.append((active, np.full(len(active), step), self.ids[at, k]))
@@ -224,6 +234,14 @@ def uniform(key, place):
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+class _Numbers(dict):
+    """Numbers its keys in the order in which they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class Sampler:
     def __init__(self, vocabulary: Vocabulary, seed: int = SEED) -> None:
         self.vocabulary, self.seed = vocabulary, seed
@@ -239,47 +257,43 @@ class Sampler:
 
     def encode_all(self, texts: list[str], keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sampled piece ids of all texts in one array, and the number of each text's."""
-        known: dict[str, int] = {}
+        known, long = _Numbers(), []
         unit, row, place = [], [], []
-        long: list[tuple[int, str]] = []  # occurrences with a lattice of their own
         hashes = np.array([self.key(k) for k in keys], dtype=np.uint64)
-        found, counts, size = [], np.zeros(len(texts), dtype=np.int64), 0
+        found, counts, size, n_units = [], np.zeros(len(texts), dtype=np.int64), 0, 0
 
         def flush() -> None:
-            ids, rows = self._drawn(list(known), *(np.array(x, dtype=np.int64) for x in (unit, row, place)), long, hashes)
-            found.append(ids)
-            counts[: len(texts)] += np.bincount(rows, minlength=len(texts))
+            if unit:
+                ids, rows = self._drawn(list(known), *map(np.concatenate, (unit, row, place)), long, hashes)
+                found.append(ids)
+                counts[:] += np.bincount(rows, minlength=len(texts))
             for x in (known, unit, row, place, long):
                 x.clear()
 
         for i, text in enumerate(texts):
-            at = 0
-            for j, word in enumerate(text.split(" ")):
-                part = " " + word if j else word
-                for x in [part] if len(part) <= LONGEST else self._cut(part):
-                    if len(x) > LONGEST:
-                        long.append((len(unit), x))
-                        unit.append(-1)
-                        size += len(x)
-                    elif x:
-                        unit.append(known.setdefault(x, len(known)))
-                        size += len(x)
-                    else:
-                        continue
-                    row.append(i)
-                    place.append(at)
-                    at += len(x)
+            words, at = _UNIT.findall(text), 0
+            for k in range(0, len(words), MOST_WORDS):
+                part = words[k : k + MOST_WORDS]
+                if max(map(len, part)) > LONGEST:
+                    part = [y for x in part for y in ([x] if len(x) <= LONGEST else self._cut(x))]
+                sizes = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
+                for z in np.flatnonzero(sizes > LONGEST).tolist():  # such an occurrence has a lattice of its own
+                    long.append((n_units + z, part[z]))
+                    part[z] = ""
+                unit.append(np.fromiter(map(known.__getitem__, part), dtype=np.int64, count=len(part)))
+                row.append(np.full(len(part), i))
+                place.append(at + np.cumsum(sizes) - sizes)
+                at, size, n_units = at + int(sizes.sum()), size + int(sizes.sum()), n_units + len(part)
                 if size >= SLICE_BYTES:
                     flush()
-                    size = 0
+                    size, n_units = 0, 0
         flush()
-        return np.concatenate(found), counts
+        return np.concatenate([*found, np.zeros(0, dtype=np.int32)]), counts
 
     def _drawn(self, known: list[str], unit: np.ndarray, row: np.ndarray, place: np.ndarray, long: list[tuple[int, str]], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids drawn for occurrences of units, in their order, and the row of each."""
-        short = np.flatnonzero(unit >= 0)
-        which, step, ids = Units(known, self.vocabulary).draw(unit[short], hashes[row[short]], place[short])
-        parts = [(short[which], -step, ids.astype(np.int64))]
+        which, step, ids = Units(known, self.vocabulary).draw(unit, hashes[row], place)
+        parts = [(which, -step, ids.astype(np.int64))]
         for occurrence, text in long:
             draws = uniform(hashes[row[occurrence]], place[occurrence] + np.arange(len(text) + 1))
             drawn = Lattice(text, self.vocabulary).draw(draws.__getitem__)
