@@ -8,9 +8,9 @@ next digit, which is wider, so that the number of rounds grows as the logarithm
 longest text.
 
 Each round counts its (group, digit) pairs with a map-side combine, and joins the counts back
-to the rows by a shuffled join that adaptive execution can split, so that a hot group (a
-common opening, thousands of copies) never has to fit in one task. Rounds are written to the
-shared folder; a lost executor costs its tasks of the current round alone.
+to the rows by a shuffled join that deals a hot group (a common opening, thousands of copies)
+over several tasks. Rounds are written to the shared folder; a lost executor costs its tasks of
+the current round alone.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import ascii_lower, documents, spool, without
+from orrery.llm.shared import Names, ascii_lower, documents, join_unique, spool, without
 
 ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 #: Code points of the first digit, and the factor by which digits widen.
@@ -38,37 +38,42 @@ def exact_dedup(
     is computed again. Texts are equal if identical after lower-casing A-Z. The largest id of a
     group stays (a null id counts as the smallest); of rows that repeat that id, one stays. A
     null text counts as empty, and empty texts are equal to each other. Columns of docs named
-    like an added column, in any case, are replaced. An empty table gives an empty table.
+    like an added column, in any case, are replaced; all other names are free. An empty table
+    gives an empty table.
     with_text=False leaves the text column out of the result.
     """
-    own = without(docs, [text_col, *ADDED])
-    rest = [F.col(f"`{c}`") for c in own.columns]
+    names = Names(without(docs, [text_col, *ADDED]).columns)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"),
         F.lit(0).cast("long").alias("grp"),
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{text_col}`").alias("text"),
-        F.struct(*rest, F.sha2(ascii_lower(text), 256).alias("text_sha256")).alias("row"),
+        names.pack().alias("row"),
+        F.sha2(ascii_lower(text), 256).alias("sha"),
     )
     settled, at, width = [], 0, first_width
     while True:
         done = _round(rows, at, width, with_text)
         settled.append(done.where("done"))
-        rows = done.where("not done").select("rid", "top.rid", "id", "text", "row").toDF("rid", "grp", "id", "text", "row")
+        rows = done.where("not done").select("rid", "top.rid", "id", "text", "row", "sha").toDF("rid", "grp", "id", "text", "row", "sha")
         if rows.isEmpty():
             break
         at, width = at + width, width * WIDEN
     result = settled[0]
     for more in settled[1:]:
         result = result.unionByName(more)
+    found = {
+        **dict(zip(names.columns, names.unpack())),
+        **({text_col: F.col("text").alias(text_col)} if with_text else {}),
+    }
     return result.select(
-        "row.*",
-        *([F.col("text").alias(text_col)] if with_text else []),
+        *[found[c] for c in docs.columns if c in found],
         F.col("top.id").alias("keep_id"),
         F.col("size").alias("group_size"),
         (F.col("top.rid") == F.col("rid")).alias("kept"),
-    ).select(*[c for c in docs.columns if c.lower() not in ADDED and (with_text or c != text_col)], *ADDED)
+        F.col("sha").alias("text_sha256"),
+    )
 
 
 def _round(rows: DataFrame, at: int, width: int, with_text: bool) -> DataFrame:
@@ -82,11 +87,9 @@ def _round(rows: DataFrame, at: int, width: int, with_text: bool) -> DataFrame:
     groups = rows.groupBy("grp", "digit", "ended").agg(
         F.max(F.struct("id", "rid")).alias("top"), F.count(F.lit(1)).alias("size")
     )
-    joined = rows.join(groups.hint("shuffle_hash"), ["grp", "digit", "ended"]).withColumn(
-        "done", F.col("ended") | (F.col("size") == 1)
-    )
+    joined = join_unique(rows, groups, ["grp", "digit", "ended"], "rid").withColumn("done", F.col("ended") | (F.col("size") == 1))
     kept_text = F.col("text") if with_text else F.when(~F.col("done"), F.col("text"))
-    return spool(joined.select("rid", "id", kept_text.alias("text"), "row", "top", "size", "done"), f"radix{at}")
+    return spool(joined.select("rid", "id", kept_text.alias("text"), "row", "sha", "top", "size", "done"), f"radix{at}")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import documents, spool, without
+from orrery.llm.shared import Names, documents, spool, struct_of, without
 
 ADDED = ["text", "n_chars"]
 #: Pages in URL order are paired within runs of this many, which one task holds as digests; a run also sees the page before and the page after it.
 RUN_PAGES = 256
+#: Cells of the table that aligns lines; longer pages are halved first.
+TABLE_CELLS = 1 << 20
 #: A pair that shares more than this part of the longer page's main lines is a pair of copies.
 COPY_SHARE = 0.8
 #: Elements whose content is not text, or not the main text.
@@ -127,9 +129,44 @@ def main_text(html: str, deleted: frozenset[int] = frozenset()) -> str:
     return " ".join(lines[i][0] for i in main_lines(lines) if i not in deleted)
 
 
+def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of a with each beginning of b."""
+    row = np.zeros(len(b) + 1, dtype=np.int32)
+    for x in a:
+        row[1:] = np.where(b == x, row[:-1] + 1, row[1:])
+        np.maximum.accumulate(row, out=row)
+    return row
+
+
+def _aligned(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places in a of a longest common subsequence with b: by a table, or halved until one is small enough."""
+    if not len(a) or not len(b):
+        return []
+    if len(a) == 1:
+        return [0] if (b == a[0]).any() else []
+    if len(a) * len(b) > TABLE_CELLS:
+        half = len(a) // 2
+        k = int(np.argmax(_row(a[:half], b) + _row(a[half:][::-1], b[::-1])[::-1]))
+        return [*_aligned(a[:half], b[:k]), *(half + i for i in _aligned(a[half:], b[k:]))]
+    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
+    for i in range(len(a) - 1, -1, -1):
+        np.maximum(table[i + 1, :-1], np.where(b == a[i], table[i + 1, 1:] + 1, 0), out=table[i, :-1])
+        table[i] = np.maximum.accumulate(table[i, ::-1])[::-1]
+    found, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j] and table[i, j] == table[i + 1, j + 1] + 1:
+            found.append(i)
+            i, j = i + 1, j + 1
+        elif table[i + 1, j] >= table[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return found
+
+
 def common_subsequence(a: list, b: list) -> list[int]:
-    """Places in a of a longest common subsequence with b."""
-    both = set(a) & set(b)
+    """Places in a of a longest common subsequence with b. Memory grows with the lines, not with their product."""
+    both = {x: k for k, x in enumerate(set(a) & set(b))}
     at_a, at_b = [i for i, x in enumerate(a) if x in both], [j for j, x in enumerate(b) if x in both]
     low, tail = 0, 0
     while low < min(len(at_a), len(at_b)) and a[at_a[low]] == b[at_b[low]]:
@@ -137,22 +174,8 @@ def common_subsequence(a: list, b: list) -> list[int]:
     while tail < min(len(at_a), len(at_b)) - low and a[at_a[-1 - tail]] == b[at_b[-1 - tail]]:
         tail += 1
     mid_a, mid_b = at_a[low : len(at_a) - tail], at_b[low : len(at_b) - tail]
-    table = np.zeros((len(mid_a) + 1, len(mid_b) + 1), dtype=np.int32)
-    keys = np.array([b[j] for j in mid_b], dtype=object)
-    for i in range(len(mid_a) - 1, -1, -1):
-        take = np.where(keys == a[mid_a[i]], table[i + 1, 1:] + 1, 0) if len(keys) else keys
-        table[i, :-1] = np.maximum(table[i + 1, :-1], take) if len(keys) else 0
-        table[i, :] = np.maximum.accumulate(table[i, ::-1])[::-1]
-    middle, i, j = [], 0, 0
-    while i < len(mid_a) and j < len(mid_b):
-        if a[mid_a[i]] == b[mid_b[j]] and table[i, j] == table[i + 1, j + 1] + 1:
-            middle.append(mid_a[i])
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            i += 1
-        else:
-            j += 1
-    return [*at_a[:low], *middle, *at_a[len(at_a) - tail :]]
+    middle = _aligned(*(np.array([both[lines[i]] for i in at], dtype=np.int64) for lines, at in ((a, mid_a), (b, mid_b))))
+    return [*at_a[:low], *(mid_a[i] for i in middle), *at_a[len(at_a) - tail :]]
 
 
 def address(url: str | None) -> tuple[str, str]:
@@ -206,7 +229,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(h or "", frozenset(d or ())) for h, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
         counts = pa.array([len(t) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(texts, pa.string()), counts], ["row", *ADDED])
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), counts, batch.column(2)], [*ADDED, "row"])
 
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -214,12 +237,13 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
     pages has to be a stored table. A null html counts as empty and gives an empty text; a null
     URL is of no host. Repeated rows are copies of each other, and no lines go for that. Columns
-    of pages named like an added column, in any case, are replaced. An empty table gives an
-    empty table.
+    of pages named like an added column, in any case, are replaced; all other names are free. An
+    empty table gives an empty table.
     """
     spark = pages.sparkSession
-    rows = pages.withColumn("__rid", F.monotonically_increasing_id())
-    narrow = rows.select("__rid", url_col, html_col).mapInArrow(_digests, "rid long, host string, path string, lines binary, places array<int>, main array<int>")
+    names = Names(without(pages, [html_col, *ADDED]).columns)
+    rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), names.pack().alias("row"))
+    narrow = rows.select("rid", "url", "html").mapInArrow(_digests, "rid long, host string, path string, lines binary, places array<int>, main array<int>")
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = narrow.where(F.length("lines") > 0).repartitionByRange(n, "host", "path", "rid").sortWithinPartitions("host", "path", "rid")
     ordered = spool(ordered.withColumn("nth", F.monotonically_increasing_id()), "pages")
@@ -231,12 +255,8 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     shared = ranked.select("rid", "host", "path", "lines", "places", "main", "rank", F.explode(runs).alias("run"))
     shared = shared.withColumn("own", F.col("run") == F.floor(F.col("rank") / RUN_PAGES))
     deleted = spool(shared.groupBy("run").applyInArrow(_shared, "rid long, deleted array<int>"), "shared-lines")
-    own = without(pages, [html_col, *ADDED]).columns
-    packed = rows.join(deleted.withColumnRenamed("rid", "__rid"), "__rid", "left").select(
-        F.col(f"`{html_col}`").alias("html"), "deleted", F.struct(*[F.col(f"`{c}`") for c in own], F.lit(0).alias("__")).alias("row")
-    )
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, text string, n_chars long"
-    return packed.mapInArrow(_extract, schema).select(*[F.col(f"row.`{c}`") for c in own], *ADDED)
+    packed = rows.join(deleted, "rid", "left").select("html", "deleted", "row")
+    return packed.mapInArrow(_extract, struct_of(packed, text="string", n_chars="long")).select(*names.unpack(), *ADDED)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.components import connected_components
-from orrery.llm.shared import _MULTIPLIER, documents, mix, spool, text_slices, unspool, windows, without, words
+from orrery.llm.shared import _MULTIPLIER, Names, documents, mix, spool, text_slices, unspool, windows, without, words
 
 WIDTH = 5
 #: A pair links if 100 * intersection >= PERCENT * union.
@@ -483,9 +483,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     before = F.sum("weight").over(own.orderBy("list")) - F.col("weight")
     live = named.select("*", F.sum("weight").over(own).alias("live"), before.alias("before"), *bits)
     second = _Join(join.texts, _renamed(sketch, merged)).linked(_met(live).distinct())
+    unspool(component)
     component = connected_components(first.union(second))
     rows = sketch.where("bucket is null").select("rid", "id", "n", "gid").join(component.withColumnRenamed("node", "gid"), "gid", "left")
-    return spool(rows.select("rid", "id", "n", F.coalesce("component", "gid").alias("component")), "rows")
+    rows = spool(rows.select("rid", "id", "n", F.coalesce("component", "gid").alias("component")), "rows")
+    unspool(sketch, lists, first, merged, named, second)
+    return rows
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -495,32 +498,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lower-cased. A text with fewer than 5 words has its whole word sequence as its one shingle;
     one without words, or null, has none and stays alone with its own id. Repeated rows fall
     into one component. A null id takes part, and is never the component's id unless all its ids
-    are null. Columns of docs named like an added column, in any case, are replaced. An empty
-    table gives an empty table.
+    are null. Columns of docs named like an added column, in any case, are replaced; all other
+    names are free. An empty table gives an empty table.
     """
     own = without(docs, [text_col, *ADDED]).columns
+    names = Names(own)
     rows = _classes(docs, id_col, text_col)
     smallest = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
     alone = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id"))
     found = rows.join(smallest, "component", "left").select("rid", "id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
     if own == [id_col]:
         return found.select(F.col("id").alias(id_col), *ADDED)
-    kept = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
-    return kept.join(found, "rid").select("row.*", *ADDED)
+    kept = docs.select(F.monotonically_increasing_id().alias("rid"), names.pack().alias("row"))
+    return kept.join(found, "rid").select(*names.unpack(), *ADDED)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs less near duplicates: of each component the row with the smallest id stays.
 
     Null ids count as the largest; of rows that repeat the smallest id, the first in the table
-    stays. Rows without shingles all stay. The columns are those of docs.
+    stays. Rows without shingles all stay. The columns are those of docs, whatever their names. An
+    empty table gives an empty table.
     """
     rows = _classes(docs, id_col, text_col)
     first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid"))["rid"].alias("rid"))
     stay = first.select("rid").union(rows.where("component is null").select("rid"))
-    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
-    kept = numbered.join(stay.withColumnRenamed("rid", "__rid").hint("shuffle_hash"), "__rid", "left_semi")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = Names(docs.columns)
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), names.pack().alias("row"))
+    return numbered.join(stay.hint("shuffle_hash"), "rid", "left_semi").select(*names.unpack())
 
 
 def _counted(meetings: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 Repetitive text compresses too well and noise hardly at all. Each text is compressed by
 zstandard as a whole and in fixed chunks; the ratio (raw bytes / compressed bytes) has to lie
 in a band that depends on the length compressed, since a longer text gives the compressor more
-context. Plain counts of words, symbols, repeated lines and repeated word windows stand beside
-the bands and reject the worst cases by themselves.
+context. What is left behind the last full chunk is a chunk too, so that all of a text is in one.
+The base rules on words and repeated word windows come first; among the rest the bands decide.
+Symbols and repeated lines are counted and reject nothing.
 """
 
 from __future__ import annotations
@@ -17,23 +18,22 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import documents, mix, text_slices, windows, words
+from orrery.llm.shared import Names, documents, mix, struct_of, text_slices, windows, words
 
 LEVEL = 3
 CHUNK_BYTES = 4096
 #: Upper end of a length (bytes) and the band of ratios allowed up to it. From 256 bytes to 32 KB the ends are 0.97 of the least
-#: and 1.05 of the greatest ratio of the rows labelled clean at sf0.1 that pass the other rules. No such row is shorter or longer:
-#: longer texts keep the low end of 32 KB, as more context only raises a ratio, and wide high ends.
+#: and 1.05 of the greatest ratio of the rows labelled clean at sf0.1 that pass the base rules and have few symbols. No such row is
+#: shorter or longer: longer texts keep the low end of 32 KB, as more context only raises a ratio, and wide high ends. Below 64
+#: bytes the compressor's own header hides the text.
 WHOLE_BANDS = [
-    (256, 0.80, 3.0), (384, 1.33, 1.75), (512, 1.37, 1.94), (768, 1.42, 2.0), (1024, 1.55, 2.08), (1536, 1.67, 2.15), (2048, 1.78, 2.26),
+    (64, 0.0, 3.0), (256, 0.80, 3.0), (384, 1.33, 1.75), (512, 1.37, 1.94), (768, 1.42, 2.0), (1024, 1.55, 2.08), (1536, 1.67, 2.15), (2048, 1.78, 2.26),
     (3072, 1.86, 2.27), (4096, 1.96, 2.33), (8192, 2.05, 2.46), (16384, 2.14, 2.53), (32768, 2.26, 2.61), (65536, 2.26, 12.0), (float("inf"), 2.26, 16.0),
 ]
 #: Fitted in the same way to the full chunks of those rows.
 CHUNK_BAND = (2.01, 2.37)
-#: A text fails by its chunks when more than this share of its full chunks leaves CHUNK_BAND.
+#: A text fails by its chunks when more than this share of them leaves its band: CHUNK_BAND, or for a shorter last chunk that of its length.
 CHUNK_SHARE = 0.5
-#: A text fails by its symbols when they are more than this share of its words.
-SYMBOL_SHARE = 0.3
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
 SCHEMA = (
@@ -70,14 +70,16 @@ def _dup_lines(text: bytes) -> int:
 
 
 def _compressed(text: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, int, int]:
-    """Ratio of the whole text, full chunks, and chunks outside the band."""
+    """Ratio of the whole text, its chunks, and those outside their band."""
     if not text:
         return 0.0, 0, 0
     ratio = len(text) / len(packer.compress(text))
-    low, high = CHUNK_BAND
-    full = range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES)
-    odd = sum(not low <= CHUNK_BYTES / len(packer.compress(text[i : i + CHUNK_BYTES])) <= high for i in full)
-    return ratio, len(full), odd
+    odd, starts = 0, range(0, len(text), CHUNK_BYTES)
+    for i in starts:
+        chunk = text[i : i + CHUNK_BYTES]
+        low, high = CHUNK_BAND if len(chunk) == CHUNK_BYTES else band_of(len(chunk))
+        odd += not low <= (len(chunk) / len(packer.compress(chunk)) if len(chunk) < len(text) else ratio) <= high
+    return ratio, len(starts), odd
 
 
 def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -98,7 +100,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     bands = np.array([band_of(n) for n in sizes], dtype=float).reshape(-1, 2)
     repeat, symbols = _repeats(hashes, where, len(texts)), by_text(_SYMBOLS)
     failed = (n_words < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * n_words)
-    fits = (ratio >= bands[:, 0]) & (ratio <= bands[:, 1]) & (odd <= CHUNK_SHARE * chunks) & (symbols <= SYMBOL_SHARE * n_words)
+    fits = (ratio >= bands[:, 0]) & (ratio <= bands[:, 1]) & (odd <= CHUNK_SHARE * chunks)
     return {
         "n_words": n_words,
         "word_chars": by_text(_STARTS),
@@ -137,10 +139,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs and no others."""
-    packed = docs.select(F.lit(0).alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    schema = SCHEMA.format(id="int") + f", row {packed.schema['row'].dataType.simpleString()}"
-    return packed.mapInArrow(_measured, schema).where("kept").select("row.*")
+    """The rows of docs that the rules keep, with the columns of docs and no others, whatever their names."""
+    names = Names(docs.columns)
+    packed = docs.select(F.lit(0).alias("id"), F.col(f"`{text_col}`").alias("text"), names.pack().alias("row"))
+    added = dict(f.strip().split(" ") for f in SCHEMA.format(id="int").split(","))
+    return packed.mapInArrow(_measured, struct_of(packed, **added)).where("kept").select(*names.unpack())
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

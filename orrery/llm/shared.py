@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,8 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Texts are hashed in slices of about this many bytes, which bounds a Python worker's memory.
 SLICE_BYTES = 2 << 20
 
-_spools: list[tuple[SparkSession, str]] = []
+#: Rows of one key from which a join spreads them, the keys it does so for at most, and the parts of each.
+HOT_ROWS, MOST_HOT, SALTS = 1000, 256, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,41 +40,58 @@ def shared_dir(spark: SparkSession) -> str:
 
 @cache
 def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="orrery-")
+    place = tempfile.mkdtemp(prefix="orrery-")
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    return place
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder. What is there goes when the driver's JVM ends, or by `unspool` before that."""
+    path = f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
+    system, target = _hadoop(spark, path)
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _spools.append((spark, path))
+    path = own_folder(spark, name)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._orrery_path = path
     return back
 
 
-def unspool(df: DataFrame) -> None:
-    """Deletes a spooled table that nothing reads any more."""
-    if path := getattr(df, "_orrery_path", None):
-        _delete(df.sparkSession, path)
+def unspool(*tables: DataFrame) -> None:
+    """Deletes spooled tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_orrery_path", None):
+            system, target = _hadoop(df.sparkSession, path)
+            system.delete(target, True)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    _spools[:] = [x for x in _spools if x[1] != path]
+def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """rows joined to a table with one row for each key, with the rows of hot keys spread.
 
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in list(_spools):
-        if spark.sparkContext._jsc is not None:
-            try:
-                _delete(spark, path)
-            except Exception:  # the JVM may be gone by now
-                return
+    The keys of more than HOT_ROWS rows, at most MOST_HOT of them and the most frequent first, are
+    found by counting their hashes; their rows are dealt over SALTS parts by the column spread, and
+    the other side's row to each part. Any further key has fewer rows than each of these.
+    """
+    key = F.xxhash64(*keys)
+    counts = rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS)
+    hot = [r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()]  # at most MOST_HOT numbers
+    if not hot:
+        return rows.join(unique.hint("shuffle_hash"), keys, how)
+    salted = rows.withColumn("salt", F.when(key.isin(hot), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int"))
+    every = F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(unique.withColumn("salt", F.explode(every)).hint("shuffle_hash"), [*keys, "salt"], how).drop("salt")
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

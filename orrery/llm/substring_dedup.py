@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.ngram_join import _pack, _unpack
-from orrery.llm.shared import documents, mix, slices, spool
+from orrery.llm.shared import Names, documents, mix, slices, spool, struct_of
 
 #: A cut may fall where the hash's top CUT_BITS are zero, at least MIN_CHUNK bytes after the last place where it might; longer chunks are cut at MAX_CHUNK.
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 5, 16, 512
@@ -110,39 +110,70 @@ def _repeats(table: pa.Table) -> pa.Table:
     return pa.table({"rid": rid[at], "start": start[at], "length": length[at], "first_rid": first[~new]})
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """One row per span that repeats earlier text: id_col, start, length (in bytes), n_chunks and
-    first_<id_col>, the first row that holds the span's first chunk.
-
-    docs has to be a stored table. Null and empty texts have no spans. A repeated row repeats the
-    earlier one whole. A text that repeats itself has spans whose first row is its own. Null ids
-    stay null. An empty table gives an empty table.
-    """
+def _spans(docs: DataFrame, text_col: str, min_bytes: int) -> DataFrame:
+    """rid (place of the row in docs), start, length, n_chunks and first_rid of each span."""
     spark = docs.sparkSession
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{text_col}`").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 48 / BUCKET_CHUNKS))
     schema = "rid long, start long, length long, first_rid long"
-    chunks = spool(texts.select("rid", "text").mapInArrow(_chunks(n_buckets), f"{schema}, bucket int, blob binary"), "chunks")
+    chunks = spool(texts.mapInArrow(_chunks(n_buckets), f"{schema}, bucket int, blob binary"), "chunks")
     across = chunks.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_repeats, schema)
     repeats = chunks.where("bucket is null").select("rid", "start", "length", "first_rid").unionByName(across)
     along = Window.partitionBy("rid").orderBy("start")
     apart = F.when(F.lag(F.col("start") + F.col("length")).over(along) == F.col("start"), 0).otherwise(1)
-    spans = (
+    return (
         repeats.withColumn("apart", apart)
         .withColumn("span", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("rid", "span")
         .agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.count(F.lit(1)).alias("n_chunks"), F.min(F.struct("start", "first_rid"))["first_rid"].alias("first_rid"))
         .where(F.col("length") >= min_bytes)
     )
-    ids = texts.select("rid", "id")
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
+    """One row per span that repeats earlier text: id_col, start, length (in bytes), n_chunks and
+    first_<id_col>, a row before it that holds the span's first chunk.
+
+    docs has to be a stored table. Null and empty texts have no spans. A repeated row repeats the
+    earlier one whole. A text that repeats itself has spans whose first row is its own. Null ids
+    stay null. Other columns of docs are left out, whatever their names. An empty table gives an
+    empty table.
+    """
+    ids = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("id"))
     return (
-        spans.join(ids, "rid")
+        _spans(docs, text_col, min_bytes)
+        .join(ids, "rid")
         .join(ids.select(F.col("rid").alias("first_rid"), F.col("id").alias("first_id")), "first_rid")
         .select(F.col("id").alias(id_col), "start", "length", "n_chunks", F.col("first_id").alias(f"first_{id_col}"))
     )
 
 
+def without_repeats(docs: DataFrame, text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
+    """Every row of docs, with the spans that repeat earlier text cut out of its text.
+
+    docs has to be a stored table. Null and empty texts stay, and so does a text without such
+    spans. Of a repeated row the later ones come out empty. Ids aren't used; all names of columns
+    are free. An empty table gives an empty table.
+    """
+    names = Names([c for c in docs.columns if c != text_col])
+    # A text's own spans alone come together here.
+    spans = _spans(docs, text_col, min_bytes).groupBy("rid").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{text_col}`").alias("text"), names.pack().alias("row"))
+    packed = rows.join(spans, "rid", "left").select("text", "spans", "row")
+    cut = packed.mapInArrow(_cut, struct_of(packed, text="string"))
+    columns = dict(zip(names.columns, names.unpack()))
+    return cut.select(*[columns.get(c, F.col("text").alias(c)) for c in docs.columns])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = [without_spans(t, [(s["start"], s["length"]) for s in spans or ()]) for t, spans in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column(2)], ["text", "row"])
+
+
 def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """text less the byte spans (start, length); bytes of a character cut in two go with them."""
     if not text:

@@ -10,7 +10,6 @@ change of counts: null becomes empty, and nothing else changes.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.shared import documents, shared_dir, without
+from orrery.llm.shared import Names, documents, join_unique, own_folder, without
 from orrery.llm.units import ByteCounts
 
 ADDED = ["n_bytes", "n_tokens", "over_limit"]
@@ -59,17 +58,18 @@ def token_counts(
     docs has to be a stored table. cache_dir is a folder that all executors share; it may be
     missing or hold the counts of earlier runs, of any tokenizer. A null text counts as empty
     and has no tokens. Repeated rows all get their counts. Columns of docs named like an added
-    column, in any case, are replaced. An empty table gives an empty table.
+    column, in any case, are replaced; all other names are free. An empty table gives an empty
+    table.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rest = without(docs, [text_col, *ADDED]).columns
+    names = Names(without(docs, [text_col, *ADDED]).columns)
     keyed = docs.select(
         F.unhex(F.sha2(text, 256)).alias("digest"),
         F.monotonically_increasing_id().alias("rid"),
         F.octet_length(text).cast("long").alias("n_bytes"),
-        F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("row"),
+        names.pack().alias("row"),
         text.alias("text"),
     )
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_dir)
@@ -82,15 +82,11 @@ def token_counts(
     one_each = keyed.select("rid", "text").join(misses.hint("shuffle_hash"), "rid").select("digest", "text")
     counted = one_each.mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_dir)
-    return (
-        keyed.select("digest", "n_bytes", "row")
-        .join(stored(), "digest", "left")
-        .select("row.*", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-        .drop("_")
-    )
+    counted = join_unique(keyed.select("digest", "rid", "n_bytes", "row"), stored(), ["digest"], "rid", "left")
+    return counted.select(*names.unpack(), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    place = f"{shared_dir(spark)}/orrery-token-cache-{uuid.uuid4().hex}"
-    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), place)
+    # A cache of the run's own, empty at first, that goes with the session: the figures are those of misses.
+    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), own_folder(spark, "token-cache"))

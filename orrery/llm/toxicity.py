@@ -1,10 +1,11 @@
 """Toxicity of text restored from disguise by a noisy-channel model.
 
 Words may be spelled with look-alike digits and signs, stretched by repeated letters, or spaced
-out. Each token spans a lattice: every character can stand for itself, for a letter it looks
-like, or for nothing (a separator, or one more of the same letter). Viterbi decoding picks the
-path that a character trigram model, counted over all documents, finds likeliest. Tokens with
-nothing to restore have one path and skip the decoder.
+out. Each token spans a lattice, and so does each run of single characters with white space
+between them: every character can stand for itself, for a letter it looks like, or for nothing (a
+separator, a space, or one more of the same letter). Viterbi decoding picks the path that a
+character trigram model, counted over all documents, finds likeliest, and with it where the words
+of a spaced run end. Tokens with nothing to restore have one path and skip the decoder.
 
 The score of a restored text comes from how often its words, and the beginnings of its words,
 stand in toxic texts among the labelled ones. Words and their scores are remembered by worker.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import documents, slices, spool, unspool, windows, without, words
+from orrery.llm.shared import Names, documents, slices, spool, struct_of, unspool, windows, without, words
 
 #: Labelled rows the scores are learned from, at most: those with the smallest hashes of their ids.
 MOST_LABELLED = 20_000
@@ -52,7 +53,9 @@ _TABLE = np.full(0x110000, EDGE, dtype=np.int32)
 _TABLE[[ord(c) for c in "0123456789@$!|+(€£¥"]] = OTHER
 _TABLE[0x100:0x250] = OTHER
 _TABLE[[ord(c) for c in _LETTERS]] = np.arange(len(_LETTERS)) + 2
-_SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){3,}(?!\S)")
+#: Runs of tokens of one or two characters; those with three or more single ones may be spaced-out words.
+_SPACED = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){2,}(?!\S)")
+_ADDRESS = re.compile(r"@.*\.|://")
 _STRETCHED = re.compile(r"(.)\1\1")
 
 
@@ -80,45 +83,55 @@ class Channel:
         self.cost = -np.log(table / table.sum(2, keepdims=True))
 
     def restore(self, token: str) -> str:
-        """The likeliest reading of a lower-case token."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        """The likeliest reading of a lower-case token, or of a run of tokens with single spaces between them."""
+        # By the last two classes: cost, and the reading as links to what comes before.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
         for ch in token:
             readings = [(ch, 0.0), *((x, AS_LETTER) for x in LOOKALIKES.get(ch, ""))]
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (u, v), (cost, text) in states.items():
-                options = [((v, w), cost + extra + self.cost[u, v, w], text + x) for x, extra in readings for w in [_CLASS.get(x, OTHER)]]
-                if ch in SEPARATORS:
+                options = [((v, w), cost + extra + self.cost[u, v, w], (text, x)) for x, extra in readings for w in [EDGE if x == " " else _CLASS.get(x, OTHER)]]
+                if ch in SEPARATORS or ch == " ":
                     options.append(((u, v), cost + AS_NOTHING, text))
-                if text and text[-1] in (ch, *LOOKALIKES.get(ch, "")):
+                if text and text[1] != " " and text[1] in (ch, *LOOKALIKES.get(ch, "")):
                     options.append(((u, v), cost + AS_MORE, text))
                 for state, total, reading in options:
-                    if state not in step or (total, reading) < step[state]:
+                    if state not in step or total < step[state][0]:
                         step[state] = (total, reading)
             states = step
-        return min((cost + self.cost[u, v, EDGE], text) for (u, v), (cost, text) in states.items())[1]
-
-    def words(self, token: str) -> str:
-        """A token's word: trimmed, in lower case, restored if there is anything to restore."""
+        (u, v), (_, link) = min(states.items(), key=lambda s: s[1][0] + self.cost[s[0][0], s[0][1], EDGE])
+        spelled = []
+        while link:
+            link, ch = link
+            spelled.append(ch)
+        return "".join(reversed(spelled))
+
+    def words(self, token: str) -> list[str]:
+        """The words of a token, or of a run with spaces: trimmed, in lower case, restored if there is anything to restore."""
         low = token.lower()
+        if " " in low:
+            return self.restore(low).split()
         core = low.strip("\"'.,;:?!()[]{}<>#%&*-_~`^=/\\…«»“”")
         if core.isalpha():
-            return self.restore(core) if len(core) < 64 and _STRETCHED.search(core) else core
+            return [self.restore(core) if _STRETCHED.search(core) else core]
         core = low.strip("\"'.,;:?()[]{}<>#%&*-_~`^=/\\…«»“”").rstrip("!")
-        disguised = any(c.isalpha() for c in core) and len(core) < 64 and all(c.isalpha() or c in LOOKALIKES or c in SEPARATORS for c in core)
-        return self.restore(core) if disguised and 3 * sum(c in LOOKALIKES for c in core) <= 2 * len(core) else core
+        disguised = any(c.isalpha() for c in core) and all(c.isalpha() or c in LOOKALIKES or c in SEPARATORS for c in core) and not _ADDRESS.search(core)
+        return [self.restore(core) if disguised and 3 * sum(c in LOOKALIKES for c in core) <= 2 * len(core) else core]
 
 
-def features(word: str) -> list[int]:
-    """Numbers of a word and of its beginnings."""
-    data = word
-    parts = [f"={data}", *(data[:k] for k in BEGINNINGS if len(data) >= k)]
-    return [zlib.crc32(p.encode(errors="replace")) & (SLOTS - 1) for p in parts] if data else []
+def features(words: list[str]) -> list[int]:
+    """Numbers of words and of their beginnings."""
+    parts = [p for word in words if word for p in (f"={word}", *(word[:k] for k in BEGINNINGS if len(word) >= k))]
+    return [zlib.crc32(p.encode(errors="replace")) & (SLOTS - 1) for p in parts]
 
 
 def tokens(text: str) -> set[str]:
-    """The distinct tokens of a text, with runs of spaced-out characters joined."""
+    """The distinct tokens of a text, and its runs that may be spaced-out words, with single spaces."""
     found = set(text.split())
-    found.update(m.group().replace(" ", "") for m in _SPACED.finditer(text))
+    for run in _SPACED.findall(text):
+        parts = run.split()
+        if sum(len(p) == 1 for p in parts) >= 3:
+            found.add(" ".join(parts))
     return found
 
 
@@ -216,7 +229,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     and most near copies count once. Null labels are left out; without any label every score is 0. A null text
     counts as empty; an empty one scores the share of toxic texts among the labelled. Repeated
     rows and null ids are scored like others. Columns of docs named like an added column, in any
-    case, are replaced. An empty table gives an empty table.
+    case, are replaced; all other names are free. An empty table gives an empty table.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     grams = docs.select(text).mapInArrow(_trigrams, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
@@ -243,10 +256,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     tried = tried.select("score", F.col("row.label").cast("double").alias("label")).toPandas()  # at most MOST_LABELLED rows
     cut = best_cut(tried["score"].to_numpy(dtype=float), tried["label"].to_numpy(dtype=float))
     unspool(learned)
-    own = [F.col(f"`{c}`") for c in without(docs, [text_col, *ADDED]).columns]
-    packed = docs.select(text, F.struct(*own, held_out(id_col).alias("held_out")).alias("row"))
-    scored = packed.mapInArrow(_scored(*channel, shares, prior, cut), f"score double, row {packed.schema['row'].dataType.simpleString()}")
-    return scored.select("row.*", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    names = Names(without(docs, [text_col, *ADDED]).columns)
+    packed = docs.select(text, F.struct(names.pack().alias("own"), held_out(id_col).alias("held_out")).alias("row"))
+    scored = packed.mapInArrow(_scored(*channel, shares, prior, cut), struct_of(packed, score="double"))
+    own = [c.alias(n) for n, c in zip(names.columns, names.unpack("row.own"))]
+    return scored.select(*own, "row.held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
