@@ -14,8 +14,8 @@ from orrery.llm.exact_dedup import exact_dedup
 from orrery.llm.ngram_join import one_of_each
 from orrery.llm.packing import pack
 from orrery.llm.quality import keep_good
-from orrery.llm.secrets import labelled_findings, redact, train
-from orrery.llm.shared import documents, spool
+from orrery.llm.secrets import redact, trained
+from orrery.llm.shared import documents, spool, unspool
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -33,7 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return redact(docs, train(labelled_findings(spark)))
+    return redact(docs, trained(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +49,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = spool(stage(spark, docs, sf_dir), "stage")
+        before, docs = docs, spool(stage(spark, docs, sf_dir), "stage")
+        unspool(before)
     return STAGES[-1][1](spark, docs, sf_dir)
