@@ -111,21 +111,74 @@ def update_codebooks(encoded: DataFrame, books: list[np.ndarray], weight: str |
     return np.split(new, np.cumsum(sizes)[:-1])
 
 
+def update_two_pass(encoded: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
+    """The small layers that fit best beside the old root, then in closed form the root that fits best beside them."""
+    den, right, cross, g, t = _root_sums(encoded, books)
+    small = np.vstack(books[1:])
+    live = np.diag(g) > 0
+    if live.any():
+        small[live] = np.linalg.lstsq(g[np.ix_(live, live)], (t - cross.T @ books[0])[live], rcond=None)[0]
+    return [_root_beside(den, right, cross, small, books[0]), *np.split(small, np.cumsum([len(b) for b in books[1:]])[:-1])]
+
+
+def _root_beside(den: np.ndarray, right: np.ndarray, cross, small: np.ndarray, old: np.ndarray) -> np.ndarray:
+    return np.where((den > 0)[:, None], (right - cross @ small) / np.where(den > 0, den, 1.0)[:, None], old)
+
+
+def _root_sums(encoded: DataFrame, books: list[np.ndarray]):
+    """Sums over rows with x, codes, coeffs, by parts of the normal equations.
+
+    Of the root layer: its diagonal (no row has two of its codes), its right sides, and its
+    products with the small layers; of the small layers: their matrix and right sides. A task
+    gives out one row for each root code that it met, so that nothing has the root's size squared.
+    """
+    h0, d = books[0].shape
+    sizes = [len(b) for b in books[1:]]
+    offsets, h = np.concatenate([[0], np.cumsum(sizes)])[:-1], sum(sizes)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, np.ndarray] = {}
+        g, t = np.zeros((h, h)), np.zeros((h, d))
+        for batch in batches:
+            x, codes, a = stacked(batch.column(0)), stacked(batch.column(1)).astype(int), stacked(batch.column(2))
+            if not len(x):
+                continue
+            s = np.zeros((len(x), h))
+            np.put_along_axis(s, codes[:, 1:] + offsets, a[:, 1:], 1)
+            g += s.T @ s
+            t += s.T @ x
+            values, at = np.unique(codes[:, 0], return_inverse=True)
+            both = np.hstack([a[:, :1] ** 2, a[:, :1] * x, a[:, :1] * s])
+            sums = np.zeros((len(values), both.shape[1]))
+            np.add.at(sums, at, both)
+            for v, row in zip(values.tolist(), sums):
+                met[v] = met[v] + row if v in met else row
+        rows = [*met.items(), *((-1 - i, np.concatenate([[0.0], t[i], g[i]])) for i in range(h))]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.list_(pa.float64()))], ["row", "v"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        return pa.table({"row": table.column("row")[:1], "v": pa.array([stacked(table.column("v").combine_chunks()).sum(0)], pa.list_(pa.float64()))})
+
+    parts = encoded.select("x", "codes", "coeffs").mapInArrow(part, "row long, v array<double>")
+    got = parts.groupBy("row").applyInArrow(summed, "row long, v array<double>").toArrow()  # one row per codeword
+    rows, v = got.column("row").to_numpy(), stacked(got.column("v").combine_chunks())
+    table, own = np.zeros((h0, 1 + d + h)), np.zeros((h, 1 + d + h))
+    table[rows[rows >= 0]], own[-1 - rows[rows < 0]] = v[rows >= 0], v[rows < 0]
+    return table[:, 0], table[:, 1 : 1 + d], table[:, 1 + d :], own[:, 1 + d :], own[:, 1 : 1 + d]
+
+
 def update_root_by_elimination(encoded: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
-    """The same optimum, with the (large) root layer eliminated: G00 is diagonal, so the small layers solve a Schur complement."""
-    sizes, d = [len(b) for b in books], books[0].shape[1]
-    g, t = normal_equations(encoded, sizes, d)
-    h0 = sizes[0]
-    used = np.diag(g)[:h0] > 0
-    inverse = np.where(used, 1 / np.where(used, np.diag(g)[:h0], 1.0), 0.0)
-    schur = g[h0:, h0:] - g[h0:, :h0] @ (inverse[:, None] * g[:h0, h0:])
-    right = t[h0:] - g[h0:, :h0] @ (inverse[:, None] * t[:h0])
-    live = np.diag(g)[h0:] > 0
-    small = np.vstack(books[1:]) if len(books) > 1 else np.zeros((0, d))
+    """The optimum of all layers, with the (large) root layer eliminated: its block is diagonal, so the small layers solve a Schur complement."""
+    den, right, cross, g, t = _root_sums(encoded, books)
+    if len(books) == 1:
+        return [np.where((den > 0)[:, None], right / np.where(den > 0, den, 1.0)[:, None], books[0])]
+    scaled = cross / np.where(den > 0, den, 1.0)[:, None]
+    schur, rest = g - cross.T @ scaled, t - scaled.T @ right
+    live, small = np.diag(g) > 0, np.vstack(books[1:])
     if live.any():
-        small[live] = np.linalg.lstsq(schur[np.ix_(live, live)], right[live], rcond=None)[0]
-    root = np.where(used[:, None], inverse[:, None] * (t[:h0] - g[:h0, h0:] @ np.where(live[:, None], small, 0.0)), books[0])
-    return [root, *np.split(small, np.cumsum(sizes[1:])[:-1])] if len(books) > 1 else [root]
+        small[live] = np.linalg.lstsq(schur[np.ix_(live, live)], rest[live], rcond=None)[0]
+    root = _root_beside(den, right, cross, np.where(live[:, None], small, 0.0), books[0])
+    return [root, *np.split(small, np.cumsum([len(b) for b in books[1:]])[:-1])]
 
 
 def procrustes_moment(pairs: DataFrame, d: int) -> np.ndarray:

@@ -156,10 +156,46 @@ def louds_parents(bits: bytes, n: int) -> np.ndarray:
 
 
 def louds_parent(bits: bytes, n: int, v: int) -> int:
-    """One node's parent (v from 1): the zeros before the v-th one."""
-    b = np.unpackbits(np.frombuffer(bits, dtype=np.uint8))[: 2 * n + 1]
-    at = int(np.flatnonzero(b)[v - 1])
-    return int((b[:at] == 0).sum())
+    """One node's parent (v from 1)."""
+    return Louds(bits, n).parent(v)
+
+
+class Louds:
+    """A level-order tree with an index: the ones before each block of bits, so that one node's parent needs one block."""
+
+    MAGIC, BLOCK = b"LTR1", 64  # bytes
+
+    def __init__(self, bits: bytes, n: int) -> None:
+        self.bits, self.n = bits, n
+        data = np.frombuffer(bits, dtype=np.uint8)
+        counts = np.add.reduceat(np.bitwise_count(data).astype(np.int64), np.arange(0, len(data), self.BLOCK)) if len(data) else np.zeros(0, dtype=np.int64)
+        self.before = np.cumsum(counts) - counts
+
+    @classmethod
+    def build(cls, parent: np.ndarray) -> Louds:
+        return cls(louds(np.asarray(parent)), len(parent))
+
+    def parents(self) -> np.ndarray:
+        return louds_parents(self.bits, self.n)
+
+    def parent(self, v: int) -> int:
+        """The zeros before the v-th one (v from 1): its place less the ones before it."""
+        if not 1 <= v <= self.n:
+            raise IndexError(v)
+        block = int(np.searchsorted(self.before, v, side="left")) - 1
+        inside = np.unpackbits(np.frombuffer(self.bits[block * self.BLOCK : (block + 1) * self.BLOCK], dtype=np.uint8))
+        at = int(np.flatnonzero(inside)[v - 1 - int(self.before[block])])
+        return block * self.BLOCK * 8 + at - (v - 1)
+
+    def serialise(self) -> bytes:
+        return self.MAGIC + self.n.to_bytes(8, "little") + self.bits
+
+    @classmethod
+    def deserialise(cls, data: bytes) -> Louds:
+        n = int.from_bytes(data[4:12], "little")
+        if data[:4] != cls.MAGIC or len(data) != 12 + -(-(2 * n + 1) // 8):
+            raise ValueError("no stored tree")
+        return cls(data[12:], n)
 
 
 _MAPS = {
@@ -171,22 +207,54 @@ _MAPS = {
 }
 
 
-def norm_table(values: np.ndarray, mode: str = "lut", n_centers: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Up to 256 centers for squared norms, and each value's center. lut_piecewise has equal-count bins in three ranges."""
+def norm_table(values: np.ndarray, mode: str = "lut", n_centers: int = 256, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Up to 256 centers for squared norms, and each value's center. counts tells how often each value stands for a row.
+
+    lut_piecewise parts the values at the middle and at 0.95 of the rows and has bins of equal count in each part.
+    """
     values = np.asarray(values, dtype=np.float64)
+    n = np.ones(len(values)) if counts is None else np.asarray(counts, dtype=np.float64)
     k = min(n_centers, 256, len(values))
     if mode == "lut_piecewise":
-        cuts = np.quantile(values, [0.5, 0.95])
-        parts = [values[values <= cuts[0]], values[(values > cuts[0]) & (values <= cuts[1])], values[values > cuts[1]]]
-        shares = [max(1, round(k * s)) for s in (0.5, 0.375, 0.125)]
-        centers = np.sort(np.concatenate([[chunk.mean() for chunk in np.array_split(np.sort(p), min(s, len(p))) if len(chunk)] for p, s in zip(parts, shares) if len(p)]))
+        order = np.argsort(values, kind="stable")
+        v, w = values[order], n[order]
+        upto = np.cumsum(w) / w.sum()
+        centers, low = [], 0.0
+        for high, share in ((0.5, 0.5), (0.95, 0.375), (1.0, 0.125)):
+            inside = (upto > low) & (upto <= high + 1e-12)
+            if inside.any():
+                bins = max(1, round(k * share))
+                place = np.minimum(((np.cumsum(w[inside]) - w[inside] / 2) / w[inside].sum() * bins).astype(int), bins - 1)
+                mass = np.bincount(place, w[inside], bins)
+                centers += list((np.bincount(place, w[inside] * v[inside], bins) / np.maximum(mass, 1e-300))[mass > 0])
+            low = high + 1e-12
+        centers = np.sort(centers)
     else:
         there, back = _MAPS[mode]
-        mapped = there(values)
-        centers = np.sort(back(scalar_kmeans(mapped, k, weights=tail_weights(values) if mode == "lut_tail_weighted" else None)[0]))
+        weights = tail_weights(values, n) if mode == "lut_tail_weighted" else None
+        centers = np.sort(back(scalar_kmeans(there(values), k, weights=weights, counts=n)[0]))
     return centers, np.searchsorted((centers[1:] + centers[:-1]) / 2, values, side="left")
 
 
+def value_histogram(rows: DataFrame, value: str, bins: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Means and counts of the values of all rows in bins of equal width: at most `bins` rows come to the driver."""
+    ends = rows.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+    if ends["low"] is None:
+        return np.zeros(0), np.zeros(0)
+    width = max((ends["high"] - ends["low"]) / bins, 1e-300)
+    place = F.least(F.floor((F.col(value) - ends["low"]) / width), F.lit(bins - 1))
+    got = rows.groupBy(place.alias("bin")).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")).orderBy("bin").toArrow()
+    return got.column("mean").to_numpy(), got.column("n").to_numpy().astype(float)
+
+
+def joint_scale_sums(rows: DataFrame, key: str) -> DataFrame:
+    """Scales s0, s1 of two layers for each key, from rows with codes q0, q1, values a0, a1 and products g00, g01, g11: the normal equations as sums over all rows."""
+    l00, l01, l11 = F.sum(F.expr("q0 * q0 * g00")), F.sum(F.expr("q0 * q1 * g01")), F.sum(F.expr("q1 * q1 * g11"))
+    r0, r1 = F.sum(F.expr("q0 * (g00 * a0 + g01 * a1)")), F.sum(F.expr("q1 * (g01 * a0 + g11 * a1)"))
+    det = l00 * l11 - l01 * l01
+    return rows.groupBy(key).agg(((l11 * r0 - l01 * r1) / det).alias("s0"), ((l00 * r1 - l01 * r0) / det).alias("s1"))
+
+
 def norm_codes(rows: DataFrame, centers: np.ndarray) -> DataFrame:
     """Adds norm_code, the nearest center of each row's norm, as an expression over at most 256 constants."""
     edges = F.array(*[F.lit(float(e)) for e in (centers[1:] + centers[:-1]) / 2])

@@ -162,6 +162,27 @@ def greedy_abs(books: Codebooks, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return codes, coeffs
 
 
+def greedy_forced(books: Codebooks, x: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `greedy_abs`, with the root's code given and taken off first."""
+    codes, coeffs = np.zeros((len(x), books.m), dtype=int), np.zeros((len(x), books.m))
+    codes[:, 0], coeffs[:, 0] = root, (x * books.layers[0][root]).sum(1) * books.inverse[root]
+    if books.m > 1:
+        rest = x - coeffs[:, :1] * books.layers[0][root]
+        codes[:, 1:], coeffs[:, 1:] = greedy_abs(Codebooks(books.layers[1:]), rest)
+    return codes, coeffs
+
+
+def greedy_encode(vectors: DataFrame, books: Codebooks, root: str) -> DataFrame:
+    """vec_id, codes and coeffs of each vector, greedily after the root code that a column names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, coeffs = greedy_forced(books, stacked(batch.column(1)), batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(codes.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(coeffs), pa.list_(pa.float64()))], ["vec_id", "codes", "coeffs"])
+
+    return vectors.select("vec_id", "x", root).mapInArrow(run, "vec_id long, codes array<int>, coeffs array<double>")
+
+
 def encode(vectors: DataFrame, books: Codebooks, width: int = 4, icm_rounds: int = 2, ils_rounds: int = 2, perturbed: int = 2, seed: int = 1, root: str | None = None) -> DataFrame:
     """vec_id, cid (the first code), codes, coeffs and mse of each vector. root names a column with the first code."""
 

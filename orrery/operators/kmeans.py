@@ -115,7 +115,8 @@ def init_parallel(vectors: DataFrame, k: int, rounds: int = 3, oversample: float
         if phi <= 0:
             break
         chance = F.pmod(F.xxhash64("vec_id", F.lit(seed + r)), F.lit(1 << 30)) / float(1 << 30)
-        kept = near.where(chance < oversample * k * F.col("d2") / phi).orderBy("vec_id").limit(most).select("x").toArrow()
+        # Beyond the method's own limit those with the smallest hashes stay, whatever their ids.
+        kept = near.where(chance < oversample * k * F.col("d2") / phi).orderBy(chance, "vec_id").limit(most).orderBy("vec_id").select("x").toArrow()
         if kept.num_rows:
             found = np.vstack([found, unit_rows(stacked(kept.column(0).combine_chunks()))])
     if len(found) < k:
@@ -160,19 +161,29 @@ def annealing_factor(factor: float, it: int, warmup: int, rounds: int) -> float:
     return 0.0 if it <= warmup else factor * (1 - float(np.exp(-(it - warmup) / max(1, rounds - warmup))))
 
 
-def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
-    """From the row nearest the mean, each time the row farthest from those chosen; ties to the first."""
-    chosen = [int(np.argmin(np.round(((x - x.mean(0)) ** 2).sum(1), 12)))]
-    d = ((x - x[chosen[0]]) ** 2).sum(1)
+def mixed_bits(x: int) -> int:
+    """The mixing steps of splitmix64."""
+    most = (1 << 64) - 1
+    x = (x + 0x9E3779B97F4A7C15) & most
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & most
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & most
+    return x ^ (x >> 31)
+
+
+def farthest_first(x: np.ndarray, k: int, start: int) -> np.ndarray:
+    """From row `start`, each time the row farthest from those chosen, never one of them; ties to the first."""
+    chosen = [start]
+    d = ((x - x[start]) ** 2).sum(1)
     while len(chosen) < min(k, len(x)):
+        d[chosen] = -1.0
         chosen.append(int(np.argmax(np.round(d, 12))))
         d = np.minimum(d, ((x - x[chosen[-1]]) ** 2).sum(1))
     return x[chosen].copy()
 
 
-def euclidean_kmeans(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lloyd's means from a farthest-first start; an empty center takes the row of the largest error."""
-    centers = farthest_first(x, k)
+def euclidean_kmeans(x: np.ndarray, k: int, rounds: int, code: int = 0, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Lloyd's means from a farthest-first start, whose first row the seed and the root code draw; an empty center takes the row of the largest error."""
+    centers = farthest_first(x, k, mixed_bits(seed ^ code) % len(x))
     for _ in range(rounds):
         d = ((x[:, None] - centers) ** 2).sum(2)
         at = np.argmin(d, axis=1)
@@ -184,11 +195,13 @@ def euclidean_kmeans(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np
     return centers, np.argmin(((x[:, None] - centers) ** 2).sum(2), axis=1)
 
 
-def scalar_kmeans(values: np.ndarray, k: int, rounds: int = 25, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """One-dimensional k-means from quantiles i n / k of the sorted values; stops when no center moves by 1e-6."""
-    v = np.sort(np.asarray(values, dtype=np.float64))
-    w = np.ones(len(v)) if weights is None else np.asarray(weights, dtype=np.float64)[np.argsort(values, kind="stable")]
-    centers = v[np.minimum(np.arange(k) * len(v) // k, len(v) - 1)].copy()
+def scalar_kmeans(values: np.ndarray, k: int, rounds: int = 25, weights: np.ndarray | None = None, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One-dimensional k-means from quantiles i n / k of the sorted values; stops when no center moves by 1e-6. counts tells how often each value stands for a row."""
+    order = np.argsort(values, kind="stable")
+    v = np.asarray(values, dtype=np.float64)[order]
+    n = np.ones(len(v)) if counts is None else np.asarray(counts, dtype=np.float64)[order]
+    w = n if weights is None else n * np.asarray(weights, dtype=np.float64)[order]
+    centers = v[np.minimum(np.searchsorted(np.cumsum(n), np.floor(np.arange(k) * n.sum() / k), side="right"), len(v) - 1)].copy()
     for _ in range(rounds):
         at = np.searchsorted((centers[1:] + centers[:-1]) / 2, v, side="left")
         total, mass = np.bincount(at, w * v, k), np.bincount(at, w, k)
@@ -201,7 +214,12 @@ def scalar_kmeans(values: np.ndarray, k: int, rounds: int = 25, weights: np.ndar
     return centers, np.searchsorted((centers[1:] + centers[:-1]) / 2, np.asarray(values), side="left")
 
 
-def tail_weights(values: np.ndarray) -> np.ndarray:
-    """4 above the 99th percentile, 16 above the 99.9th."""
-    hi, top = np.quantile(values, [0.99, 0.999])
+def tail_weights(values: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """4 above the 99th percentile of the rows, 16 above the 99.9th."""
+    if counts is None:
+        hi, top = np.quantile(values, [0.99, 0.999])
+    else:
+        order = np.argsort(values, kind="stable")
+        upto = np.cumsum(counts[order]) / counts.sum()
+        hi, top = (values[order][min(int(np.searchsorted(upto, q)), len(values) - 1)] for q in (0.99, 0.999))
     return np.where(values > top, 16.0, np.where(values > hi, 4.0, 1.0))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from orrery.operators.encoding import Codebooks, greedy_abs, iterated_local_search
 from orrery.operators.search import in_list_knn, stacked
 from orrery.operators.topk import top_k
+from orrery.sources.stores import spooled
 
 
 def radial_layers(rows: DataFrame, inner_share: float, n_layers: int, cid: str = "cid", cos: str = "cos", ident: str = "vec_id") -> DataFrame:
@@ -51,15 +52,45 @@ def cut_mutual(parents: DataFrame) -> DataFrame:
     return joined.select("vec_id", "cid", F.when(root, F.lit(None)).otherwise(F.col("parent")).alias("parent"))
 
 
-def depths(parents: DataFrame, most: int = 64) -> DataFrame:
-    """Depth and root of each vector by pointer doubling: every round joins the table with itself once and doubles the reach."""
-    rows = parents.select("vec_id", F.coalesce("parent", "vec_id").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    reach = 1
-    while reach < most:
+def depths(parents: DataFrame) -> DataFrame:
+    """Depth and root of each vector by pointer doubling: every round joins the table with itself once, until no pointer moves."""
+    rows = spooled(parents.select("vec_id", F.coalesce("parent", "vec_id").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "depths")
+    for _ in range(rows.count().bit_length() + 1):  # a path is no longer than the rows
         above = rows.select(F.col("vec_id").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
-        rows = rows.join(above, "up").select("vec_id", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
-        reach *= 2
-    return rows.withColumnRenamed("up", "root")
+        joined = rows.join(above, "up").select("vec_id", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
+        rows = spooled(joined, "depths", rows)
+        if rows.where("moved").isEmpty():
+            return rows.select("vec_id", F.col("up").alias("root"), "depth")
+    raise ValueError("the parents form a cycle")
+
+
+def sums_along_parents(rows: DataFrame) -> DataFrame:
+    """vec_id and y, the sum of the arrays y of a row and all its ancestors, of rows with vec_id, parent and y: with each doubling a row takes on its ancestor's sum."""
+    rows = spooled(rows.select("vec_id", F.col("parent").alias("up"), "y"), "sums")
+    for _ in range(rows.count().bit_length() + 2):
+        if rows.where("up is not null").isEmpty():
+            return rows.select("vec_id", "y")
+        above = rows.select(F.col("vec_id").alias("up"), F.col("up").alias("next"), F.col("y").alias("more"))
+        total = F.when(F.col("more").isNull(), F.col("y")).otherwise(F.zip_with("y", "more", lambda a, b: a + b))
+        rows = spooled(rows.join(above, "up", "left").select("vec_id", F.col("next").alias("up"), total.alias("y")), "sums", rows)
+    raise ValueError("the parents form a cycle")
+
+
+def subtree_sizes(parents: DataFrame) -> DataFrame:
+    """vec_id and size, the number of rows of its tree from there on: sums go up level by level, each level's rows once."""
+    rows = spooled(parents.select("vec_id", "parent").join(depths(parents).select("vec_id", "depth"), "vec_id"), "levels")
+    most = rows.agg(F.max("depth")).first()[0]
+    done, below = None, None
+    for level in range(most if most is not None else -1, -1, -1):
+        here = rows.where(F.col("depth") == level).select("vec_id", "parent")
+        if below is None:
+            sized = here.withColumn("size", F.lit(1).cast("long"))
+        else:
+            more = below.groupBy(F.col("parent").alias("vec_id")).agg(F.sum("size").alias("more"))
+            sized = here.join(more, "vec_id", "left").select("vec_id", "parent", (F.coalesce("more", F.lit(0)) + 1).alias("size"))
+        below = spooled(sized, "sizes")
+        done = below if done is None else done.unionByName(below)
+    return (done if done is not None else rows.withColumn("size", F.lit(1).cast("long"))).select("vec_id", "size")
 
 
 def cut_deep(parents: DataFrame, max_depth: int) -> DataFrame:
@@ -84,26 +115,29 @@ def random_parent(i: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 def cut_cycles(parent: np.ndarray) -> np.ndarray:
-    """The lowest node of each cycle of a parent array (-1: none) becomes a root."""
-    parent, state = parent.copy(), np.zeros(len(parent), dtype=np.int8)
-    for start in range(len(parent)):
-        path, at = [], start
-        while at >= 0 and state[at] == 0:
-            state[at] = 1
-            path.append(at)
-            at = parent[at]
-        if at >= 0 and state[at] == 1:
-            parent[min(path[path.index(at) :])] = -1
-        state[path] = 2
-    return parent
+    """The lowest node of each cycle of a parent array (-1: none) becomes a root.
+
+    After n or more steps along the pointers, the nodes that are still reached are those on
+    cycles; the least node met on the way is, for them, the least of their cycle. Pointers and
+    minima are doubled, for all nodes at once.
+    """
+    n = len(parent)
+    up = np.append(np.where(parent < 0, n, parent), n)
+    least = np.arange(n + 1)
+    for _ in range(n.bit_length() + 1):
+        least = np.minimum(least, least[up])
+        up = up[up]
+    on_cycle = np.zeros(n + 1, dtype=bool)
+    on_cycle[up] = True
+    return np.where(on_cycle[:n] & (least[:n] == np.arange(n)), -1, parent)
 
 
 def breadth_first(parent: np.ndarray, max_depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """parent, depth and order, roots first; a child beyond max_depth becomes a root."""
     parent = parent.copy()
     children: dict[int, list[int]] = {}
-    for i, p in enumerate(parent):
-        children.setdefault(int(p), []).append(i)
+    for i, p in enumerate(parent.tolist()):
+        children.setdefault(p, []).append(i)
     depth, order = np.zeros(len(parent), dtype=int), []
     level = children.get(-1, [])
     while level:
@@ -118,7 +152,44 @@ def breadth_first(parent: np.ndarray, max_depth: int) -> tuple[np.ndarray, np.nd
                     depth[c] = depth[p] + 1
                     later.append(c)
         level = later + fresh
-    return parent, depth, np.array(sorted(range(len(parent)), key=lambda i: (depth[i], order.index(i) if len(order) < 2048 else i)))
+    place = np.empty(len(parent), dtype=int)
+    place[order] = np.arange(len(order))
+    return parent, depth, np.lexsort((place, depth))
+
+
+def renumbered(ids: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a list breadth first, by depth, then the parent's new number, then id; and each such row's parent as a number from 1, 0 for none."""
+    new = np.zeros(len(ids) + 1, dtype=int)
+    order = np.zeros(0, dtype=int)
+    for level in range(int(depth.max(initial=0)) + 1):
+        rows = np.flatnonzero(depth == level)
+        rows = rows[np.lexsort((ids[rows], np.where(parent[rows] < 0, 0, new[parent[rows]])))]
+        new[rows] = len(order) + 1 + np.arange(len(rows))
+        order = np.concatenate([order, rows])
+    return order, np.where(parent[order] < 0, 0, new[parent[order]])
+
+
+def numbered(parents: DataFrame) -> DataFrame:
+    """The rows of parents (vec_id, cid, parent), renumbered breadth first in each list: cid, local_id, vec_id, parent_local, depth."""
+
+    def one_list(part: pa.Table) -> pa.Table:
+        ids = part.column("vec_id").to_numpy()
+        by_id = np.argsort(ids, kind="stable")
+        ids, up = ids[by_id], part.column("parent").combine_chunks()
+        root = up.is_null().to_numpy(zero_copy_only=False)[by_id]
+        parent = np.where(root, -1, np.searchsorted(ids, up.fill_null(0).to_numpy()[by_id]))
+        depth, at = np.zeros(len(ids), dtype=int), parent
+        while (at >= 0).any():
+            depth += at >= 0
+            at = np.where(at >= 0, parent[at], -1)
+        order, local = renumbered(ids, parent, depth)
+        return pa.table({
+            "cid": pa.array(np.full(len(ids), part.column("cid")[0].as_py()), pa.int64()), "local_id": pa.array(np.arange(1, len(ids) + 1), pa.int32()), "vec_id": pa.array(ids[order], pa.int64()),
+            "parent_local": pa.array(local, pa.int32()), "depth": pa.array(depth[order], pa.int32()),
+        })
+
+    rows = parents.select(F.col("cid").cast("long").alias("cid"), "vec_id", F.col("parent").cast("long").alias("parent"))
+    return rows.groupBy("cid").applyInArrow(one_list, "cid long, local_id int, vec_id long, parent_local int, depth int")
 
 
 FOREST = "cid long, local_id int, vec_id long, parent_local int, depth int, codes array<int>, coeffs array<double>, error double"
@@ -142,7 +213,6 @@ def build_forest(vectors: DataFrame, root: Codebooks, one: Codebooks, policy: st
         codes, coeffs, error = iterated_local_search(root, x, ids, codes, 1, 2, 1, seed)
         rebuilt = root.reconstruct(codes, coeffs)
         parent, depth = np.full(n, -1), np.zeros(n, dtype=int)
-        d2 = np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T, 0) if policy != "all_roots" else None
         if policy == "structured":
             center = x.mean(0)
             cos = x @ center / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(center), 1e-12)
@@ -152,17 +222,18 @@ def build_forest(vectors: DataFrame, root: Codebooks, one: Codebooks, policy: st
             walk, wanted, tries = np.arange(n), np.full(n, -1), 0
         else:
             if policy == "nn_forest":
-                np.fill_diagonal(d2, np.inf)
-                wanted = np.argmin(np.round(d2, 12), axis=1) if n > 1 else np.full(n, -1)
+                wanted = _nearest_rows(x) if n > 1 else np.full(n, -1)
             else:
                 wanted = random_parent(np.arange(n), n, seed)
             wanted, _, walk = breadth_first(cut_cycles(wanted), max_depth)
             tries = 1
-        placed: list[int] = []
-        for i in walk:
+        # Places in the walk of the rows that may still have children; the others are out of reach.
+        place = np.full(n, n)
+        for nth, i in enumerate(walk):
             if wanted is None:
-                open_ = np.array([p for p in placed if depth[p] < max_depth], dtype=int)
-                trial = open_[np.argsort(np.round(d2[i, open_], 12), kind="stable")[:tries]]
+                open_ = np.flatnonzero(place < n)
+                # Ties keep the order in which rows were placed.
+                trial = open_[np.lexsort((place[open_], np.round(((x[i] - x[open_]) ** 2).sum(1), 12)))[:tries]]
             else:
                 trial = np.array([wanted[i]]) if wanted[i] >= 0 else np.zeros(0, dtype=int)
             if len(trial):
@@ -174,23 +245,25 @@ def build_forest(vectors: DataFrame, root: Codebooks, one: Codebooks, policy: st
                     parent[i], depth[i], error[i] = trial[best], depth[trial[best]] + 1, e[best]
                     codes[i], coeffs[i] = c[best], a[best]
                     rebuilt[i] = rebuilt[trial[best]] + one.reconstruct(c[best : best + 1], a[best : best + 1])[0]
-            placed.append(int(i))
+            place[i] = nth if depth[i] < max_depth else n
         return finalised(cid, ids, parent, depth, codes, coeffs, error)
 
     return vectors.select(F.col("cid").cast("long").alias("cid"), "vec_id", "x").groupBy("cid").applyInArrow(one_list, FOREST)
 
 
+def _nearest_rows(x: np.ndarray) -> np.ndarray:
+    """The nearest other row of each row, in blocks of rows, so that no table of all pairs is held."""
+    found = []
+    for at in range(0, len(x), 1024):
+        d2 = np.maximum((x[at : at + 1024] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[at : at + 1024] @ x.T, 0)
+        d2[np.arange(len(d2)), np.arange(at, at + len(d2))] = np.inf
+        found.append(np.argmin(np.round(d2, 12), axis=1))
+    return np.concatenate(found)
+
+
 def finalised(cid: int, ids: np.ndarray, parent: np.ndarray, depth: np.ndarray, codes: np.ndarray, coeffs: np.ndarray, error: np.ndarray) -> pa.Table:
     """Rows renumbered breadth first: by depth, then the parent's new number, then id."""
-    new = np.zeros(len(ids), dtype=int)
-    order: list[int] = []
-    for level in range(int(depth.max(initial=0)) + 1):
-        rows = [i for i in range(len(ids)) if depth[i] == level]
-        rows.sort(key=lambda i: (new[parent[i]] if parent[i] >= 0 else 0, ids[i]))
-        for i in rows:
-            order.append(i)
-            new[i] = len(order)
-    up = [0 if parent[i] < 0 else int(new[parent[i]]) for i in order]
+    order, up = renumbered(ids, parent, depth)
     return pa.table({
         "cid": pa.array([cid] * len(order), pa.int64()), "local_id": pa.array(range(1, len(order) + 1), pa.int32()), "vec_id": pa.array(ids[order], pa.int64()),
         "parent_local": pa.array(up, pa.int32()), "depth": pa.array(depth[order], pa.int32()), "codes": pa.array(list(codes[order].astype(np.int32)), pa.list_(pa.int32())),
@@ -279,3 +352,13 @@ def quantised_error(forest: DataFrame, vectors: DataFrame, root: Codebooks, one:
 
     rebuilt = reconstruct_forest(quantised_forest(forest, bits), root, one)
     return rebuilt.join(vectors.select("vec_id", "x"), "vec_id").select("vec_id", l2sq("x", "xh").alias("se"))
+
+
+def union_linkages(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """One linkage of two built apart; no list may be in both."""
+    return good.unionByName(bad.select(*good.columns))
+
+
+def real_only(found: DataFrame) -> DataFrame:
+    """Results without virtual rows, whose ids are below 0."""
+    return found.where("vec_id >= 0")

@@ -42,6 +42,41 @@ def ndcg(gt: DataFrame, pred: DataFrame, g: int, k: int) -> DataFrame:
     return every.select("qid", F.when(F.col("n") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"))
 
 
+def valid_truth(truth: DataFrame) -> DataFrame:
+    """Truth without invalid ids, each member once, at its first rank."""
+    return truth.where("vec_id >= 0").groupBy("qid", "vec_id").agg(F.min("rank").alias("rank"))
+
+
+def compare_truths(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per query of either: ranks with the same id, ids in common, and these as a share of the longer one's."""
+    ours, theirs = (valid_truth(t) for t in (a, b))
+    ranks = ours.join(theirs.select("qid", "rank", F.col("vec_id").alias("other")), ["qid", "rank"], "full")
+    same = ranks.groupBy("qid").agg(F.sum((F.col("vec_id") == F.col("other")).cast("long")).alias("same_rank"), F.greatest(F.count("vec_id"), F.count("other")).alias("n"))
+    common = ours.join(theirs.select("qid", "vec_id"), ["qid", "vec_id"], "left_semi").groupBy("qid").agg(F.count(F.lit(1)).alias("common"))
+    got = same.join(common, "qid", "left").select("qid", F.coalesce("same_rank", F.lit(0)).alias("same_rank"), F.coalesce("common", F.lit(0)).alias("common"), "n")
+    return got.withColumn("overlap", F.col("common") / F.col("n"))
+
+
+def reranked(found: DataFrame, k: int) -> DataFrame:
+    """The k first of what is left of ranked results, with ranks from 1 again."""
+    w = Window.partitionBy("qid").orderBy("rank")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def throughput(run, n_queries: int, warm_up: int = 1, repeats: int = 3) -> dict[str, float]:
+    """Median and mean queries a second of a run, after some that don't count."""
+    import time
+    from statistics import mean, median
+
+    speeds = []
+    for k in range(warm_up + repeats):
+        start = time.perf_counter()
+        run()
+        if k >= warm_up:
+            speeds.append(n_queries / (time.perf_counter() - start))
+    return {"median_qps": median(speeds), "mean_qps": mean(speeds)}
+
+
 def summary(name: str, value: float) -> str:
     return f"{name} {value:.4f}" if name.startswith("ndcg") else f"{name} {100 * value:.2f}%"
 

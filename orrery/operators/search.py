@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from orrery.functions.vectors import add, dot, l2sq, norm2, scale
 from orrery.operators.topk import nearest, top_k
 
-#: Bytes of the block that every task holds, at most; larger query sets are searched block by block.
+#: Bytes of the block that every task holds, at most; larger sets of queries or centers are gone through block by block.
 MOST_BLOCK_BYTES = 64 << 20
 
 
@@ -46,6 +46,31 @@ def stacked(column: pa.Array) -> np.ndarray:
 
 def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """The k nearest base vectors of each query: qid, rank, vec_id, dist; ties by id. metric is l2 (squared) or ip (negated)."""
+    return _union([_exact_block(base, block, k, metric) for block in blocks(queries, "qid", "q")])
+
+
+def blocks(rows: DataFrame, ident: str, x: str, most: int | None = None) -> list[DataFrame]:
+    """rows by ranges of their ids, each range small enough to be held by every task."""
+    head = rows.select(x).first()
+    limit = max(1, (most or MOST_BLOCK_BYTES) // (8 * (len(head[0]) if head else 1)))
+    n = rows.count()
+    if n <= limit:
+        return [rows]
+    # Ends of ranges with half the limit in each, which leaves room for what the quantiles lack in precision.
+    parts = -(-2 * n // limit)
+    ends = rows.select(F.expr(f"percentile_approx({ident}, array({', '.join(str(i / parts) for i in range(1, parts))}), 100000)").alias("e")).first()["e"]
+    edges = [None, *sorted(set(ends)), None]
+    return [rows.where((F.lit(True) if a is None else F.col(ident) > a) & (F.lit(True) if b is None else F.col(ident) <= b)) for a, b in zip(edges, edges[1:])]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return rows
+
+
+def _exact_block(base: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     qids, q = matrix(queries, "qid", "q")
     q2 = (q * q).sum(1)
 
@@ -68,6 +93,13 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -
 
 def assign(rows: DataFrame, centers: DataFrame, ident: str = "vec_id", x: str = "x") -> DataFrame:
     """The center with the greatest dot product for each row, ties to the lowest: ident, code, dot."""
+    parts = [_assign_block(rows, block, ident, x) for block in blocks(centers, "cid", "c")]
+    if len(parts) == 1:
+        return parts[0]
+    return top_k(_union(parts), ident, [F.desc("dot"), F.col("code")], 1, "nth").drop("nth")
+
+
+def _assign_block(rows: DataFrame, centers: DataFrame, ident: str, x: str) -> DataFrame:
     codes, c = matrix(centers, "cid", "c")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,6 +146,57 @@ def probe_two_level(queries: DataFrame, centers: DataFrame, group_of: DataFrame,
     return top_k(scored, "qid", [F.desc("score"), F.col("cid")], nprobe, "probe_rank")
 
 
+def probe_graph(queries: DataFrame, centers: DataFrame, nprobe: int, neighbours: int = 16, ef: int = 64) -> DataFrame:
+    """As `probe`, by walking a graph of the centers instead of scoring all of them: qid, cid, score, probe_rank.
+
+    Centers are linked to their `neighbours` nearest by cosine, both ways, and along the order of
+    ids, which keeps the graph in one piece. A walk holds the ef best centers seen and goes on from
+    the best not yet left, until none of these could improve what it holds.
+    """
+    import heapq
+
+    codes, c = matrix(centers.where(norm2("c") > 0), "cid", "c")
+    unit = c / np.linalg.norm(c, axis=1, keepdims=True) if len(c) else c
+    links: list[set[int]] = [set() for _ in codes]
+    for at in range(0, len(codes), 1024):
+        score = unit[at : at + 1024] @ unit.T
+        score[np.arange(len(score)), np.arange(at, at + len(score))] = -np.inf
+        for i, row in enumerate(np.argsort(-score, axis=1, kind="stable")[:, : min(neighbours, len(codes) - 1)], at):
+            for j in row.tolist():
+                links[i].add(j)
+                links[j].add(i)
+    for i in range(1, len(codes)):
+        links[i].add(i - 1)
+        links[i - 1].add(i)
+    near = [np.array(sorted(x), dtype=np.int64) for x in links]
+    ef = max(ef, nprobe)
+
+    def walk(q: np.ndarray) -> list[tuple[float, int]]:
+        first = float(unit[0] @ q)
+        seen, open_, best = {0}, [(-first, 0)], [(first, 0)]
+        while open_:
+            score, at = heapq.heappop(open_)
+            if len(best) >= ef and -score < best[0][0]:
+                break
+            new = [j for j in near[at].tolist() if j not in seen]
+            seen.update(new)
+            for j, s in zip(new, (unit[new] @ q).tolist() if new else []):
+                if len(best) < ef or s > best[0][0]:
+                    heapq.heappush(open_, (-s, j))
+                    heapq.heappush(best, (s, -j))
+                    if len(best) > ef:
+                        heapq.heappop(best)
+        return sorted(((s, int(codes[-j])) for s, j in best), key=lambda x: (-x[0], x[1]))[:nprobe]
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, cid, s, r + 1) for i, q in zip(batch.column(0).to_pylist(), stacked(batch.column(1))) for r, (s, cid) in enumerate(walk(q) if len(codes) else [])]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["qid", "cid", "score", "probe_rank"])
+
+    return queries.select("qid", "q").mapInArrow(walked, "qid long, cid long, score double, probe_rank int")
+
+
 def in_list_knn(rows: DataFrame, k: int, key: str = "cid", ident: str = "vec_id") -> DataFrame:
     """The k nearest others within each list: cid, ident, neighbour, rank, dist2."""
 
@@ -121,17 +204,20 @@ def in_list_knn(rows: DataFrame, k: int, key: str = "cid", ident: str = "vec_id"
         ids, x = part.column(ident).to_numpy(), stacked(part.column("x").combine_chunks())
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
-        out = []
+        near_k = min(k, len(ids) - 1)
+        found, exact = [np.zeros((0, near_k), dtype=np.int64)], [np.zeros((0, near_k))]
         for at in range(0, len(ids), 1024):  # blocks of rows against the list, in ids' order so that ties keep it
             d = np.maximum((x[at : at + 1024] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[at : at + 1024] @ x.T, 0.0)
             d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-            best = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
-            for i, js in enumerate(best):
-                exact = ((x[at + i] - x[js]) ** 2).sum(1)
-                out += [(ids[at + i], ids[j], r + 1, float(e)) for r, (j, e) in enumerate(zip(js, exact))]
-        cid = part.column(key)[0].as_py()
-        cols = list(zip(*out)) if out else [[], [], [], []]
-        return pa.table({key: pa.array([cid] * len(out), pa.int64()), ident: pa.array(cols[0], pa.int64()), "neighbour": pa.array(cols[1], pa.int64()), "rank": pa.array(cols[2], pa.int32()), "dist2": pa.array(cols[3], pa.float64())})
+            best = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :near_k]
+            found.append(best)
+            exact.append(((x[at : at + 1024, None] - x[best]) ** 2).sum(2) if near_k else np.zeros((len(d), 0)))
+        cid, n = part.column(key)[0].as_py(), len(ids) * near_k
+        ranks = np.tile(np.arange(1, near_k + 1), len(ids))
+        return pa.table({
+            key: pa.array(np.full(n, cid), pa.int64()), ident: pa.array(np.repeat(ids, near_k), pa.int64()), "neighbour": pa.array(ids[np.concatenate(found).ravel()], pa.int64()),
+            "rank": pa.array(ranks, pa.int32()), "dist2": pa.array(np.concatenate(exact).ravel(), pa.float64()),
+        })
 
     narrow = rows.select(F.col(key).cast("long").alias(key), F.col(ident).cast("long").alias(ident), "x")
     return narrow.groupBy(key).applyInArrow(near, f"{key} long, {ident} long, neighbour long, rank int, dist2 double")
@@ -142,26 +228,46 @@ def reconstructed(encoded: DataFrame) -> DataFrame:
     return encoded.withColumn("xh", add(scale("c", F.col("a0")), scale("atom", F.col("a1"))))
 
 
-def table_distance(q: str = "q") -> F.Column:
-    """|xh|^2 - 2 <q, xh>: the squared distance less |q|^2, which is the same for all of a query's rows."""
-    return F.col("norm") - 2 * (F.col("a0") * F.col("t0") + F.col("a1") * F.col("t1"))
-
-
 def adc_scan(encoded: DataFrame, queries: DataFrame, centers: DataFrame, atoms: DataFrame, k: int, probes: DataFrame | None = None) -> DataFrame:
-    """Top-k by table lookup: dot products of queries with codewords once, then sums per code.
+    """Top-k by table lookup: dot products of queries with codewords once, then sums per code: qid, rank, vec_id, dist.
 
-    encoded has vec_id, cid, code1, a0, a1, norm. With probes, only the lists probed are scanned;
-    a query whose lists hold fewer than k rows scans everything.
+    dist is |xh|^2 - 2 <q, xh>, the squared distance less |q|^2, which is the same for all of a
+    query's rows. encoded has vec_id, cid, code1, a0, a1, norm and is read once, in batches that
+    keep their own top-k. With probes, only the lists probed are read; a query whose lists hold
+    fewer than k rows scans everything.
     """
-    root = queries.crossJoin(F.broadcast(centers)).select("qid", "cid", dot("q", "c").alias("t0"))
-    small = queries.crossJoin(F.broadcast(atoms)).select("qid", F.col("code").alias("code1"), dot("q", "atom").alias("t1"))
+    return _union([_adc_block(encoded, block, centers, atoms, k, probes) for block in blocks(queries, "qid", "q")])
+
+
+def _adc_block(encoded: DataFrame, queries: DataFrame, centers: DataFrame, atoms: DataFrame, k: int, probes: DataFrame | None) -> DataFrame:
+    qids, q = matrix(queries, "qid", "q")
+    (cids, c), (codes, a) = matrix(centers, "cid", "c"), matrix(atoms, "code", "atom")
+    root, small = q @ c.T, q @ a.T
+    allowed = np.ones((len(qids), len(cids)), dtype=bool)
+    rows = encoded.select("vec_id", "cid", "code1", "a0", "a1", "norm")
     if probes is not None:
-        sizes = encoded.groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
-        reach = probes.join(sizes, "cid", "left").groupBy("qid").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-        full = reach.where(F.col("n") < k).select("qid")
-        root = root.join(probes.select("qid", "cid"), ["qid", "cid"], "left_semi").unionByName(root.join(full, "qid", "left_semi")).distinct()
-    rows = encoded.select("vec_id", "cid", "code1", "a0", "a1", "norm").join(root, "cid").join(small, ["qid", "code1"])
-    return nearest(rows.select("qid", "vec_id", table_distance().alias("dist")), k)
+        sizes = dict(encoded.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per list, as many as centers
+        pairs = probes.join(queries.select("qid"), "qid", "left_semi").select("qid", "cid").toArrow()  # at most queries x lists, both of checked size
+        allowed[:] = False
+        allowed[np.searchsorted(qids, pairs.column(0).to_numpy()), np.searchsorted(cids, pairs.column(1).to_numpy())] = True
+        allowed[allowed @ np.array([sizes.get(int(x), 0) for x in cids]) < k] = True
+        wanted = cids[allowed.any(0)]
+        if len(wanted) < len(cids):
+            rows = rows.where(F.col("cid").isin([int(x) for x in wanted]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, cid, code, a0, a1, norm = (batch.column(i).to_numpy() for i in range(6))
+            if not len(ids) or not len(qids):
+                continue
+            at, layer = np.searchsorted(cids, cid), np.searchsorted(codes, code)
+            d = np.round(norm - 2 * (a0 * root[:, at] + a1 * small[:, layer]), 12)
+            d[~allowed[:, at]] = np.inf
+            n = min(k, len(ids))
+            row, col = np.nonzero((d <= np.partition(d, n - 1, axis=1)[:, n - 1 : n]) & np.isfinite(d))
+            yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[col]), pa.array(d[row, col])], ["qid", "vec_id", "dist"])
+
+    return nearest(rows.mapInArrow(scan, "qid long, vec_id long, dist double"), k)
 
 
 def rerank(shortlist: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -11,8 +11,8 @@ from orrery.functions.vectors import as_double, dot, mean_vectors, scale, subtra
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Vectors below this id are the queries of all searches, the others the base.
-N_QUERIES = 20
+#: Vectors whose ids this divides are the queries of all searches; all vectors are the base.
+QUERY_STEP = 50
 #: Atoms of the second layer: the vectors below this id.
 N_ATOMS = 8
 
@@ -32,11 +32,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where(F.col("vec_id") >= N_QUERIES)
+    return vectors(spark, sf_dir)
 
 
 def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("qid"), F.col("x").alias("q"))
+    return vectors(spark, sf_dir).where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("qid"), F.col("x").alias("q"))
 
 
 def centers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,13 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy_atom(own, atoms(spark, sf_dir)).select("vec_id", "cid", "x", "c", "a0", "code1", "atom", "a1")
 
 
+def holds(spark: SparkSession, **facts: bool | int) -> DataFrame:
+    """One row of facts that have to come out as stated whatever the random choices."""
+    values = [v.item() if hasattr(v, "item") else v for v in facts.values()]
+    schema = ", ".join(f"{name} {'boolean' if isinstance(v, bool) else 'long'}" for name, v in zip(facts, values))
+    return spark.createDataFrame([tuple(values)], schema)
+
+
 def sub(a: str, b: str) -> str:
     return f"[{a}[i] - {b}[i] for i in range(1, 65)]"
 
@@ -70,8 +77,8 @@ def dl2(a: str, b: str) -> str:
 
 BASE = f"""
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label AS cid FROM embeddings),
-b AS (SELECT * FROM v WHERE vec_id >= {N_QUERIES}),
-q AS (SELECT vec_id AS qid, x AS q FROM v WHERE vec_id < {N_QUERIES})"""
+b AS (SELECT * FROM v),
+q AS (SELECT vec_id AS qid, x AS q FROM v WHERE vec_id % {QUERY_STEP} = 0)"""
 CENTERS = f"""{BASE},
 c AS (SELECT cid, list(m ORDER BY d) AS c FROM (
   SELECT cid, d, avg(x[d]) AS m FROM b, range(1, 65) t(d) GROUP BY cid, d) GROUP BY cid)"""

@@ -6,11 +6,13 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from orrery.functions.vectors import cosine, dot, l2sq, norm2, normalise
+from orrery.functions import vectors as V
+from orrery.functions.vectors import cosine, dot, l2sq, norm2, normalise, subtract
 from orrery.operators import codebooks, compression, kmeans, linkage, metrics, search, topk, virtual
 from orrery.operators.encoding import Codebooks
-from orrery.plans.catalog import BASE, CENTERS, ENCODED, atoms, base, centers, ddot, dl2, encodings, queries_of, query, vectors
-from orrery.plans.core import NEIGHBOURS, TRUTH, _truth, normed, r6
+from orrery.plans.catalog import BASE, CENTERS, ENCODED, atoms, base, centers, ddot, dl2, encodings, holds, queries_of, query, sub, vectors
+from orrery.plans.core import NEIGHBOURS, PROBES, TRUTH, _truth, normed, r6
+from orrery.sources import stores
 
 COS = f"co AS (SELECT vec_id, cid, round({ddot('x', 'c')} / sqrt({ddot('x', 'x')}) / sqrt({ddot('c', 'c')}), 9) AS cos FROM b JOIN c USING (cid))"
 LAYERS = f"""{COS}, nn AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY cos DESC, vec_id) - 1 AS nth, count(*) OVER (PARTITION BY cid) AS n FROM co),
@@ -108,13 +110,29 @@ def lnk18(spark, d):
 def lnk19(spark, d):
     # A child's own part weighs a half here; with each doubling a row takes on its ancestor's sum.
     rows = _forest(spark, d).join(search.reconstructed(encodings(spark, d)).select("vec_id", "xh"), "vec_id")
-    rows = rows.select("vec_id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("xh")).otherwise(F.transform("xh", lambda v: v * 0.5)).alias("y"))
-    for _ in range(6):
-        above = rows.select(F.col("vec_id").alias("up"), F.col("up").alias("next"), F.col("y").alias("more"))
-        joined = rows.join(above, "up", "left")
-        total = F.when(F.col("more").isNull(), F.col("y")).otherwise(F.zip_with("y", "more", lambda a, b: a + b))
-        rows = joined.select("vec_id", F.col("next").alias("up"), total.alias("y"))
-    return rows.select("vec_id", r6(norm2("y")).alias("norm"))
+    rows = rows.select("vec_id", "parent", F.when(F.col("parent").isNull(), F.col("xh")).otherwise(F.transform("xh", lambda v: v * 0.5)).alias("y"))
+    return linkage.sums_along_parents(rows).select("vec_id", r6(norm2("y")).alias("norm"))
+
+
+NUMBERED = "pt AS (SELECT vec_id, cid, parent, 0 AS depth, [vec_id] AS path FROM ct WHERE parent IS NULL UNION ALL SELECT ct.vec_id, ct.cid, ct.parent, pt.depth + 1, list_append(pt.path, ct.vec_id) FROM ct JOIN pt ON ct.parent = pt.vec_id), nu AS (SELECT vec_id, CAST(cid AS BIGINT) AS cid, parent, CAST(depth AS INT) AS depth, CAST(row_number() OVER (PARTITION BY cid ORDER BY depth, path) AS INT) AS local_id FROM pt), nl AS (SELECT nu.cid, nu.local_id, nu.vec_id, coalesce(p.local_id, 0) AS parent_local, nu.depth FROM nu LEFT JOIN nu p ON p.vec_id = nu.parent)"
+
+
+def _numbered(spark, d):
+    return linkage.numbered(_forest(spark, d))
+
+
+@query("lnk16_breadth_first_numbers", f"WITH RECURSIVE {BASE}, {FOREST}, {NUMBERED} SELECT cid, local_id, vec_id, parent_local, depth FROM nl")
+def lnk16(spark, d):
+    return _numbered(spark, d)
+
+
+@query("snk07_linkage_store", f"WITH RECURSIVE {BASE}, {FOREST}, {NUMBERED} SELECT cid, local_id, vec_id, parent_local, depth, round(0.5 * depth, 6) AS a FROM nl WHERE depth BETWEEN 1 AND 2")
+def snk07(spark, d):
+    """Written as trees of bits by list, and read back for a span of depths."""
+    place = stores.scratch(spark, "linkage")
+    forest = _numbered(spark, d).select("*", F.array("depth").alias("codes"), F.array(0.5 * F.col("depth")).alias("coeffs"), F.lit(0.0).alias("error"))
+    stores.write_linkage(forest, place, "overwrite")
+    return stores.read_linkage(spark, place, depths=(1, 2)).select("cid", "local_id", "vec_id", "parent_local", "depth", r6(F.col("coeffs")[0]).alias("a"))
 
 
 @query("top05_deepest_lists", f"WITH RECURSIVE {BASE}, {FOREST}, {DEPTHS} SELECT CAST(cid AS BIGINT) AS cid, CAST(max(depth) AS BIGINT) AS max_depth, count(*) AS n FROM dp GROUP BY cid ORDER BY 2 DESC, 1 LIMIT 3")
@@ -129,10 +147,22 @@ def top06(spark, d):
     return _depths(spark, d).select(F.col("cid").cast("long").alias("cid"), "vec_id", place.alias("place"))
 
 
-@query("set01_union_lists", f"WITH {BASE} SELECT vec_id, CAST(cid AS BIGINT) AS cid, cid % 2 = 0 AS good FROM b")
+BAD = f"m AS (SELECT cid, avg({dl2('x', 'xh')}) AS mean FROM rc GROUP BY cid), r AS (SELECT *, row_number() OVER (ORDER BY mean, cid) - 1 AS nth, count(*) OVER () AS n FROM m), bd AS (SELECT cid, mean, mean > (SELECT mean FROM r WHERE nth = least(n - 1, CAST(round(0.7 * n) AS INT))) AS bad FROM r)"
+
+
+def _bad(spark, d):
+    errors = search.reconstructed(encodings(spark, d)).select("cid", l2sq("x", "xh").alias("mse"))
+    return codebooks.bad_clusters(errors, 0.7)
+
+
+@query("set01_union_lists", f"WITH {ENCODED}, {FOREST}, {BAD} SELECT vec_id, CAST(ct.cid AS BIGINT) AS cid, CASE WHEN bad THEN -1 ELSE coalesce(parent, -1) END AS parent FROM ct JOIN bd ON bd.cid = ct.cid")
 def set01(spark, d):
-    rows = base(spark, d).select("vec_id", F.col("cid").cast("long").alias("cid"))
-    return rows.where("cid % 2 = 0").withColumn("good", F.lit(True)).unionByName(rows.where("cid % 2 = 1").withColumn("good", F.lit(False)))
+    """Forests of good lists as they are and bad lists without parents, each built apart, as one linkage."""
+    marks = _bad(spark, d).select(F.col("cid").cast("long").alias("cid"), "bad")
+    rows = base(spark, d).withColumn("cid", F.col("cid").cast("long")).join(marks, "cid")
+    good = linkage.cut_mutual(linkage.nearest_parents(rows.where("not bad").drop("bad")))
+    bad = rows.where("bad").select("vec_id", "cid", F.lit(None).cast("long").alias("parent"))
+    return linkage.union_linkages(good, bad).select("vec_id", "cid", F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
 @query("rep01_depth_report", f"WITH RECURSIVE {BASE}, {FOREST}, {DEPTHS} SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n FROM dp GROUP BY depth")
@@ -161,16 +191,7 @@ def rep02b(spark, d):
 
 @query("rep02_subtree_sizes", f"WITH RECURSIVE {BASE}, {FOREST}, an AS (SELECT vec_id, vec_id AS top FROM ct UNION ALL SELECT an.vec_id, ct.parent FROM an JOIN ct ON ct.vec_id = an.top WHERE ct.parent IS NOT NULL) SELECT top AS vec_id, count(*) AS size FROM an GROUP BY top")
 def rep02c(spark, d):
-    forest = _forest(spark, d)
-    depth = linkage.depths(forest).select("vec_id", "depth")
-    # Paths to all ancestors: a forest's total depth is small beside its rows.
-    level, paths = forest.select("vec_id", F.col("vec_id").alias("top")), forest.select("vec_id", F.col("vec_id").alias("top"))
-    most = depth.agg(F.max("depth")).first()[0] or 0
-    up = forest.select(F.col("vec_id").alias("top"), F.col("parent").alias("above"))
-    for _ in range(most):
-        level = level.join(up, "top").where("above is not null").select("vec_id", F.col("above").alias("top"))
-        paths = paths.unionByName(level)
-    return paths.groupBy(F.col("top").alias("vec_id")).agg(F.count(F.lit(1)).alias("size"))
+    return linkage.subtree_sizes(_forest(spark, d))
 
 
 @query("rep04_cluster_angles", f"WITH {ENCODED} SELECT CAST(cid AS BIGINT) AS cid, round(avg(degrees(acos(least(1, greatest(-1, {ddot('x', 'c')} / sqrt({ddot('x', 'x')} * {ddot('c', 'c')})))))), 5) AS raw, round(avg(degrees(acos(least(1, greatest(-1, {ddot('xh', 'c')} / sqrt({ddot('xh', 'xh')} * {ddot('c', 'c')})))))), 5) AS rebuilt FROM rc GROUP BY cid")
@@ -181,11 +202,15 @@ def rep04(spark, d):
     return rec.groupBy(F.col("cid").cast("long").alias("cid")).agg(F.round(F.avg(angle_degrees("x", "c")), 5).alias("raw"), F.round(F.avg(angle_degrees("xh", "c")), 5).alias("rebuilt"))
 
 
-@query("rep05_query_adc", f"WITH {ENCODED} SELECT qid, vec_id, round({ddot('q', 'q')} + {ddot('xh', 'xh')} - 2 * {ddot('q', 'xh')}, 6) AS adc, round({dl2('q', 'x')}, 6) AS truth, round({dl2('x', 'xh')}, 6) AS rest FROM q, rc WHERE rc.cid = 2")
+@query("rep05_query_adc", f"WITH {ENCODED}, {PROBES}, t AS (SELECT *, {ddot('q', 'q')} + {ddot('xh', 'xh')} - 2 * {ddot('q', 'xh')} AS adc, {dl2('q', 'x')} AS truth, {dl2('x', 'xh')} AS rest, {ddot(sub('x', 'xh'), sub('q', 'xh'))} AS directional FROM pr JOIN rc USING (cid) QUALIFY row_number() OVER (PARTITION BY qid, vec_id ORDER BY score DESC) = 1) SELECT qid, vec_id, round(adc, 6) AS adc, round(truth, 6) AS truth, round(rest, 6) AS residual_norm2, round({ddot('xh', 'xh')}, 6) AS z_norm2, round(directional, 6) AS directional_term, round(truth - adc, 6) AS gap FROM t")
 def rep05(spark, d):
-    rec = search.reconstructed(encodings(spark, d)).where("cid = 2")
-    both = rec.crossJoin(F.broadcast(queries_of(spark, d)))
-    return both.select("qid", "vec_id", r6(norm2("q") + norm2("xh") - 2 * dot("q", "xh")).alias("adc"), r6(l2sq("q", "x")).alias("truth"), r6(l2sq("x", "xh")).alias("rest"))
+    """Each query with the rows of the lists it probes: estimated and true distances, and what lies between them."""
+    rec = search.reconstructed(encodings(spark, d))
+    q = queries_of(spark, d)
+    both = search.probe(q, centers(spark, d), 3).select("qid", "q", "cid").join(rec.drop("c"), "cid")
+    adc, truth = norm2("q") + norm2("xh") - 2 * dot("q", "xh"), l2sq("q", "x")
+    directional = dot(subtract("x", "xh"), subtract("q", "xh"))
+    return both.select("qid", "vec_id", r6(adc).alias("adc"), r6(truth).alias("truth"), r6(l2sq("x", "xh")).alias("residual_norm2"), r6(norm2("xh")).alias("z_norm2"), r6(directional).alias("directional_term"), r6(truth - adc).alias("gap"))
 
 
 @query("rep06_truth_pairs", f"WITH {ENCODED}, {TRUTH} SELECT gt.qid, gt.rank, gt.vec_id, round({ddot('q', 'xh')}, 6) AS dot_hat, round({ddot('q', 'x')}, 6) AS dot_raw, round({ddot('xh', 'xh')}, 6) AS norm_hat, round({dl2('x', 'xh')}, 6) AS mse FROM gt JOIN rc USING (vec_id) JOIN q USING (qid)")
@@ -296,26 +321,47 @@ def _centers_table(spark, c: np.ndarray):
     return spark.createDataFrame([(i, round(float((x * x).sum()), 6)) for i, x in enumerate(c)], "code int, norm2 double")
 
 
-@query("km07_plus_plus")
+def _cost(rows, centers_) -> float:
+    return kmeans.partial_sums(rows, kmeans.unit_rows(centers_))[2]
+
+
+@query("km07_plus_plus", "SELECT 8 AS centers, true AS of_the_rows, true AS apart")
 def km07(spark, d):
-    return _centers_table(spark, kmeans.init_plus_plus(base(spark, d), 8))
+    got = kmeans.init_plus_plus(base(spark, d), 8)
+    rows = kmeans.unit_rows(search.matrix(base(spark, d), "vec_id", "x")[1])
+    near = (got @ rows.T).max(1)
+    return holds(spark, centers=len(got), of_the_rows=bool((near > 1 - 1e-9).all()), apart=bool((got @ got.T - 2 * np.eye(8) < 1 - 1e-9).all()))
 
 
-@query("km08_parallel_start")
+@query("km08_parallel_start", "SELECT 8 AS centers, true AS unit, true AS no_worse_than_random")
 def km08(spark, d):
-    return _centers_table(spark, kmeans.init_parallel(base(spark, d), 8))
+    rows = base(spark, d)
+    got = kmeans.init_parallel(rows, 8)
+    worst = max(_cost(rows, kmeans.init_random(rows, 8, s)) for s in (1, 2, 3))
+    return holds(spark, centers=len(got), unit=bool(np.allclose((got * got).sum(1), 1)), no_worse_than_random=_cost(rows, got) <= worst + 1e-9)
 
 
-@query("km09_spherical_kmeans")
+@query("km09_spherical_kmeans", "SELECT 10 AS centers, true AS unit, true AS cost_falls, true AS at_rest")
 def km09(spark, d):
     rows = base(spark, d)
-    return _centers_table(spark, kmeans.spherical_kmeans(rows, kmeans.init_random(rows, 10), 5).centers)
+    start = kmeans.init_random(rows, 10)
+    found = [kmeans.spherical_kmeans(rows, start, n) for n in (1, 3)] + [kmeans.spherical_kmeans(rows, start, 40, 1e-12)]
+    costs = [_cost(rows, m.centers) for m in found]
+    more = _cost(rows, kmeans.spherical_kmeans(rows, found[-1].centers, 1).centers)
+    return holds(spark, centers=len(found[-1].centers), unit=bool(np.allclose((found[-1].centers ** 2).sum(1), 1)), cost_falls=bool(_cost(rows, start) >= costs[0] - 1e-9 and costs[0] >= costs[1] - 1e-9 and costs[1] >= costs[2] - 1e-9), at_rest=abs(more - costs[-1]) < 1e-9)
 
 
-@query("cb01_residual_init")
+@query("cb01_residual_init", f"WITH {BASE} SELECT 10 AS root, 8 AS small, true AS shorter, true AS orthogonal FROM (SELECT 1)")
 def cb01(spark, d):
-    books, _ = codebooks.residual_init(base(spark, d), [10, 8], rounds=3)
-    return _centers_table(spark, np.vstack(books))
+    """Every layer's projection takes length off every vector, and leaves a rest at right angles to it."""
+    books, rest = codebooks.residual_init(base(spark, d), [10, 8], rounds=3)
+    x, r = (search.matrix(t, "vec_id", "x")[1] for t in (base(spark, d), rest))
+    first = x @ books[0].T
+    at = first.argmax(1)
+    one = x - first[np.arange(len(x)), at, None] * books[0][at]
+    second = one @ books[1].T
+    two = one - second.max(1)[:, None] * books[1][second.argmax(1)]
+    return holds(spark, root=len(books[0]), small=len(books[1]), shorter=bool(((one**2).sum(1) <= (x**2).sum(1) + 1e-12).all()), orthogonal=bool(np.allclose(two, r) and np.allclose((one * books[0][at]).sum(1), 0, atol=1e-9)))
 
 
 @query("cb02_one_layer_update", f"WITH {ENCODED} SELECT CAST(cid AS BIGINT) AS code, round(sum(a0 * x[1]) / sum(a0 * a0), 6) AS c0, round(sum(a0 * x[64]) / sum(a0 * a0), 6) AS c63 FROM e GROUP BY cid")
@@ -326,11 +372,27 @@ def cb02(spark, d):
     return spark.createDataFrame([(i, round(float(r[0]), 6), round(float(r[63]), 6)) for i, r in enumerate(new)], "code long, c0 double, c63 double")
 
 
-@query("cb04_root_elimination")
+@query("cb04_root_elimination", "SELECT true AS equals_joint_solve, true AS fits_better")
 def cb04(spark, d):
     rows = encodings(spark, d).select("x", F.array("cid", "code1").alias("codes"), F.array("a0", "a1").alias("coeffs"))
     books = [search.matrix(centers(spark, d), "cid", "c")[1], search.matrix(atoms(spark, d), "code", "atom")[1]]
-    return _centers_table(spark, codebooks.update_root_by_elimination(rows, books)[0])
+    got, joint = codebooks.update_root_by_elimination(rows, books), codebooks.update_codebooks(rows, books)
+    return holds(spark, equals_joint_solve=bool(np.allclose(np.vstack(got), np.vstack(joint), atol=1e-6)), fits_better=_fit(rows, got) <= _fit(rows, books) + 1e-9)
+
+
+def _fit(rows, books) -> float:
+    """The mean squared error of rows under codebooks, from the sums of the normal equations and of the squares."""
+    g, t = codebooks.normal_equations(rows, [len(b) for b in books], books[0].shape[1])
+    c = np.vstack(books)
+    return float(rows.agg(F.sum(norm2("x"))).first()[0] - 2 * (c * t).sum() + (g * (c @ c.T)).sum())
+
+
+@query("cb03_two_pass_root", "SELECT true AS falls, true AS not_below_joint")
+def cb03(spark, d):
+    rows = encodings(spark, d).select("x", F.array("cid", "code1").alias("codes"), F.array("a0", "a1").alias("coeffs"))
+    books = [search.matrix(centers(spark, d), "cid", "c")[1], search.matrix(atoms(spark, d), "code", "atom")[1]]
+    before, got, joint = _fit(rows, books), _fit(rows, codebooks.update_two_pass(rows, books)), _fit(rows, codebooks.update_codebooks(rows, books))
+    return holds(spark, falls=got <= before + 1e-9, not_below_joint=got >= joint - 1e-6)
 
 
 @query("cb08_rotation_moment", f"WITH {ENCODED} SELECT i, round(sum(xh[i] * x[i]), 6) AS m FROM rc, (SELECT unnest([1, 2, 63, 64]) AS i) GROUP BY i")
@@ -339,10 +401,9 @@ def cb08(spark, d):
     return spark.createDataFrame([(i, round(float(m[i - 1, i - 1]), 6)) for i in (1, 2, 63, 64)], "i int, m double")
 
 
-@query("cb09_bad_clusters", f"WITH {ENCODED}, m AS (SELECT cid, avg({dl2('x', 'xh')}) AS mean FROM rc GROUP BY cid), r AS (SELECT *, row_number() OVER (ORDER BY mean, cid) - 1 AS nth, count(*) OVER () AS n FROM m) SELECT CAST(cid AS BIGINT) AS cid, round(mean, 6) AS mean, mean > (SELECT mean FROM r WHERE nth = least(n - 1, CAST(round(0.7 * n) AS INT))) AS bad FROM r")
+@query("cb09_bad_clusters", f"WITH {ENCODED}, {BAD} SELECT CAST(cid AS BIGINT) AS cid, round(mean, 6) AS mean, bad FROM bd")
 def cb09(spark, d):
-    errors = search.reconstructed(encodings(spark, d)).select("cid", l2sq("x", "xh").alias("mse"))
-    return codebooks.bad_clusters(errors, 0.7).select(F.col("cid").cast("long").alias("cid"), r6("mean").alias("mean"), "bad")
+    return _bad(spark, d).select(F.col("cid").cast("long").alias("cid"), r6("mean").alias("mean"), "bad")
 
 
 def _books(spark, d) -> tuple[Codebooks, Codebooks]:
@@ -363,35 +424,82 @@ def enc07(spark, d):
     return encodings(spark, d).select("vec_id", "code1", r6("a1").alias("a1"))
 
 
-@query("enc10_beam_and_search")
+#: The least-squares error of two layers for each pair of codes.
+PAIRED = f"pg AS (SELECT vec_id, cid, root, code, xx - (g11 * t0 * t0 - 2 * g01 * t0 * t1 + g00 * t1 * t1) / (g00 * g11 - g01 * g01) AS err, gain FROM (SELECT b.vec_id, b.cid, k.cid AS root, code, {ddot('x', 'x')} AS xx, {ddot('k.c', 'k.c')} AS g00, {ddot('k.c', 'atom')} AS g01, {ddot('atom', 'atom')} AS g11, {ddot('x', 'k.c')} AS t0, {ddot('x', 'atom')} AS t1, {ddot('x', 'k.c')} ** 2 / {ddot('k.c', 'k.c')} AS gain FROM b, c k, atm))"
+
+
+@query("enc10_beam_and_search", f"WITH {ENCODED}, {PAIRED}, br AS (SELECT *, dense_rank() OVER (PARTITION BY vec_id ORDER BY round(gain, 12) DESC, root) AS nth FROM pg) SELECT vec_id, round(greatest(min(err), 0), 5) + 0.0 AS mse FROM br WHERE nth <= 4 GROUP BY vec_id")
 def enc10(spark, d):
+    # With two layers the beam's best pair can't be bettered by the search, which leaves the root.
     from orrery.operators.encoding import encode
 
-    return encode(base(spark, d), _books(spark, d)[0]).select("vec_id", "cid", "codes", r6("mse").alias("mse"))
+    return encode(base(spark, d), _books(spark, d)[0]).select("vec_id", (F.round(F.greatest("mse", F.lit(0.0)), 5) + 0.0).alias("mse"))
 
 
-@query("enc12_forced_root")
+@query("enc12_forced_root", f"WITH {ENCODED}, {PAIRED} SELECT vec_id, CAST(cid AS INT) AS cid, round(greatest(min(err), 0), 5) + 0.0 AS mse FROM pg WHERE root = cid GROUP BY vec_id, cid")
 def enc12(spark, d):
     from orrery.operators.encoding import encode
 
-    return encode(base(spark, d).withColumn("cid", F.col("cid").cast("int")), _books(spark, d)[0], root="cid").select("vec_id", "cid", "codes", r6("mse").alias("mse"))
+    got = encode(base(spark, d).withColumn("cid", F.col("cid").cast("int")), _books(spark, d)[0], root="cid")
+    return got.select("vec_id", "cid", (F.round(F.greatest("mse", F.lit(0.0)), 5) + 0.0).alias("mse"))
+
+
+@query("enc08_greedy_forced_root", f"WITH {ENCODED} SELECT vec_id, CAST(cid AS INT) AS root, code1, round(a0, 6) AS a0, round(a1, 6) AS a1 FROM e")
+def enc08(spark, d):
+    from orrery.operators.encoding import greedy_encode
+
+    got = greedy_encode(base(spark, d).withColumn("root", F.col("cid").cast("int")), _books(spark, d)[0], "root")
+    return got.select("vec_id", F.col("codes")[0].alias("root"), F.col("codes")[1].alias("code1"), r6(F.col("coeffs")[0]).alias("a0"), r6(F.col("coeffs")[1]).alias("a1"))
 
 
 for _policy in ("structured", "nn_forest", "random_forest", "all_roots"):
 
-    @query(f"lnk04_forest_{_policy}")
+    @query(f"lnk04_forest_{_policy}", f"WITH {BASE} SELECT CAST(cid AS BIGINT) AS cid, count(*) AS n, true AS parents_first, true AS depths_fit, true AS numbers_fit FROM b GROUP BY cid")
     def lnk04(spark, d, policy=_policy):
+        """Each list whole, parents before children and one less deep, none deeper than 4, numbers from 1 on by depth."""
         root, one = _books(spark, d)
-        forest = linkage.build_forest(base(spark, d), root, one, policy)
-        return forest.select("cid", "local_id", "vec_id", "parent_local", "depth", r6("error").alias("error"))
+        forest = stores.spooled(linkage.build_forest(base(spark, d), root, one, policy), "forest")
+        up = forest.select("cid", F.col("local_id").alias("parent_local"), F.col("depth").alias("above"))
+        rows = forest.join(up, ["cid", "parent_local"], "left").withColumn("before", F.lag("depth", 1, 0).over(Window.partitionBy("cid").orderBy("local_id")))
+        fits = (F.col("depth") == F.coalesce(F.col("above") + 1, F.lit(0))) & (F.col("depth") <= 4) & (F.lit(policy != "all_roots") | (F.col("depth") == 0))
+        in_order = (F.max("local_id") == F.count(F.lit(1))) & F.bool_and(F.col("before") <= F.col("depth"))
+        return rows.groupBy("cid").agg(F.countDistinct("vec_id").alias("n"), F.bool_and(F.col("parent_local") < F.col("local_id")).alias("parents_first"), F.bool_and(fits).alias("depths_fit"), in_order.alias("numbers_fit"))
+
+
+def _scan_agrees(spark, d, forest, probes, found, root, one, k):
+    """Ranks of a linked scan that differ from those of vectors rebuilt and compared one by one."""
+    rebuilt = linkage.reconstruct_forest(forest, root, one).where("vec_id >= 0")
+    near = probes.select("qid", "q", F.col("cid").cast("long").alias("cid")).join(rebuilt, "cid").select("qid", "vec_id", F.round(l2sq("q", "xh") - norm2("q"), 9).alias("wanted"))
+    plain = topk.top_k(near, "qid", [F.col("wanted"), F.col("vec_id")], k).select("qid", F.col("rank").alias("rank"), "wanted")
+    both = plain.join(found.select("qid", "rank", "dist"), ["qid", "rank"], "full")
+    return both.where("wanted is null or dist is null or abs(wanted - dist) > 1e-6").count()
+
 
+AGREES = f"WITH {BASE} SELECT count(*) * 5 AS found, 0 AS differing FROM q"
 
-@query("jn12_linked_scan")
+
+@query("jn12_linked_scan", AGREES)
 def jn12(spark, d):
     root, one = _books(spark, d)
-    forest = linkage.build_forest(base(spark, d), root, one, "nn_forest")
+    forest = stores.spooled(linkage.build_forest(base(spark, d), root, one, "nn_forest"), "forest")
     q = queries_of(spark, d)
-    return linkage.linked_scan(forest, q, search.probe(q, centers(spark, d), 4), root, one, 5).select("qid", "rank", "vec_id", r6("dist").alias("dist"))
+    probes = search.probe(q, centers(spark, d), 4)
+    found = linkage.linked_scan(forest, q, probes, root, one, 5)
+    return holds(spark, found=found.count(), differing=_scan_agrees(spark, d, forest, probes, found, root, one, 5))
+
+
+@query("jn15_scan_of_stored_trees", AGREES)
+def jn15(spark, d):
+    """As jn12, with parents decoded from the bits of a stored linkage."""
+    root, one = _books(spark, d)
+    forest = stores.spooled(linkage.build_forest(base(spark, d), root, one, "nn_forest"), "forest")
+    place = stores.scratch(spark, "linkage")
+    stores.write_linkage(forest, place, "overwrite")
+    q = queries_of(spark, d)
+    probes = search.probe(q, centers(spark, d), 4)
+    wanted = sorted({r["cid"] for r in probes.select("cid").distinct().collect()})  # at most a number per list
+    found = linkage.linked_scan(stores.read_linkage(spark, place, wanted), q, probes, root, one, 5)
+    return holds(spark, found=found.count(), differing=_scan_agrees(spark, d, forest, probes, found, root, one, 5))
 
 
 # Virtual roots
@@ -416,14 +524,21 @@ def vir03(spark, d):
     return _fuzzy(spark, d).groupBy("vec_id").agg(F.round(F.sum("w"), 5).alias("degree"))
 
 
-@query("vir04_seeds")
+@query("vir04_seeds", f"WITH {BASE}, {FUZZY}, dg AS (SELECT i AS vec_id, sum(w) AS degree FROM (SELECT i, j, max(w) AS w FROM sy GROUP BY i, j) GROUP BY i), mx AS (SELECT b.cid, vec_id FROM dg JOIN b USING (vec_id) QUALIFY row_number() OVER (PARTITION BY b.cid ORDER BY round(degree, 9) DESC, vec_id) = 1) SELECT CAST(cid AS BIGINT) AS cid, vec_id AS first_seed, CAST(3 AS BIGINT) AS n FROM mx")
 def vir04(spark, d):
-    return virtual.seeds(_fuzzy(spark, d), base(spark, d).select("vec_id", "cid"), 3)
+    """The first seed of a list is its row of the greatest degree, which is a peak; three distinct ones come of each."""
+    got = virtual.seeds(_fuzzy(spark, d), base(spark, d).select("vec_id", "cid"), 3)
+    return got.groupBy("cid").agg(F.min_by("vec_id", "nth").alias("first_seed"), F.countDistinct("vec_id").alias("n"))
 
 
-@query("vir06_virtual_roots")
+@query("vir06_virtual_roots", f"WITH {BASE} SELECT CAST(cid AS BIGINT) AS cid, CAST(3 AS BIGINT) AS n, true AS at_rest FROM b GROUP BY cid")
 def vir06(spark, d):
-    return virtual.sub_centers(base(spark, d), 3, 8).select("cid", "local_id", r6(norm2("x")).alias("norm2"))
+    """Three sub-centers of each list, each the mean of the rows nearest to it."""
+    got = stores.spooled(virtual.sub_centers(base(spark, d), 3, 200), "sub-centers")
+    rows = base(spark, d).select(F.col("cid").cast("long").alias("cid"), "vec_id", "x").join(got.select("cid", "local_id", F.col("x").alias("y")), "cid")
+    near = topk.top_k(rows.withColumn("d2", F.round(l2sq("x", "y"), 12)), "vec_id", [F.col("d2"), F.col("local_id")], 1)
+    means = V.mean_vectors(near.withColumn("key", F.struct("cid", "local_id")), "key", "x").select("key.*", "c")
+    return got.join(means, ["cid", "local_id"]).groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.bool_and(l2sq("x", "c") < 1e-9).alias("at_rest"))
 
 
 # Compression
@@ -476,15 +591,54 @@ def huf01(spark, d):
     return compression.quantise(_coeffs(spark, d), ["cid"], "a", 0.95, 8).groupBy("q").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("huf03_streams")
+FINE = QUANTISED.replace("127", "15")
+
+
+@query("snk09_codec_store", f"WITH {ENCODED}, {FINE} SELECT CAST(cid AS BIGINT) AS cid, CAST(row_number() OVER (PARTITION BY cid ORDER BY vec_id) - 1 AS BIGINT) AS nth, q FROM qz")
 def huf03(spark, d):
+    """Huffman streams by list, written, read back and decoded."""
     rows = compression.quantise(_coeffs(spark, d), ["cid"], "a", 0.95, 5).select("cid", F.lit(0).alias("grp"), F.lit(0).alias("layer"), "vec_id", "q")
-    return compression.compress_lists(rows).select("cid", "n_sym", F.length("payload").alias("bytes"), F.size("lens").alias("symbols"))
+    place = stores.scratch(spark, "codec")
+    stores.write_codec(compression.compress_lists(rows), place, "overwrite")
+    return stores.read_codec(spark, place).select("cid", "nth", "q")
 
 
-@query("suc01_degrees", f"WITH {BASE}, {FOREST}, {CHILDREN} SELECT children, count(*) AS n FROM ch GROUP BY children")
+@query("suc01_louds", f"WITH RECURSIVE {BASE}, {FOREST}, {NUMBERED}, kd AS (SELECT cid, parent_local AS local_id, count(*) AS k FROM nl GROUP BY ALL), al AS (SELECT cid, local_id FROM nl UNION ALL SELECT DISTINCT cid, 0 FROM nl) SELECT cid, string_agg(repeat('1', CAST(coalesce(k, 0) AS INT)) || '0', '' ORDER BY local_id) AS bits FROM al LEFT JOIN kd USING (cid, local_id) GROUP BY cid")
 def suc01(spark, d):
-    return metrics.child_degrees(_forest(spark, d)).groupBy("children").agg(F.count(F.lit(1)).alias("n"))
+    """The bits of each list's level-order tree."""
+    return _trees(spark, d, lambda tree: [("".join(map(str, np.unpackbits(np.frombuffer(tree.bits, dtype=np.uint8))[: 2 * tree.n + 1])),)], "bits string")
+
+
+def _trees(spark, d, rows_of, schema):
+    """Rows cid and those that rows_of makes of each list's tree, after the tree went through its stored form."""
+    import pyarrow as pa
+
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+
+    def each(part: pa.Table) -> pa.Table:
+        part = part.sort_by("local_id")
+        tree = compression.Louds.deserialise(compression.Louds.build(part.column("parent_local").to_numpy()).serialise())
+        rows = rows_of(tree)
+        cid = part.column("cid")[0].as_py()
+        kinds = [pa.string() if "string" in f else pa.int32() for f in schema.split(", ")]
+        return pa.table({"cid": pa.array([cid] * len(rows), pa.int64()), **{n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(zip(names, kinds))}})
+
+    return _numbered(spark, d).select("cid", "local_id", "parent_local").groupBy("cid").applyInArrow(each, f"cid long, {schema}")
+
+
+LOCAL_PARENTS = f"WITH RECURSIVE {BASE}, {FOREST}, {NUMBERED} SELECT cid, local_id, parent_local FROM nl"
+
+
+@query("suc02_parents", LOCAL_PARENTS)
+def suc02(spark, d):
+    """All parents of a tree from its bits at once."""
+    return _trees(spark, d, lambda tree: list(enumerate(tree.parents().tolist(), 1)), "local_id int, parent_local int")
+
+
+@query("suc03_random_access", LOCAL_PARENTS)
+def suc03(spark, d):
+    """Each node's parent by itself, from the stored bits and their index."""
+    return _trees(spark, d, lambda tree: [(v, tree.parent(v)) for v in range(1, tree.n + 1)], "local_id int, parent_local int")
 
 
 @query("nrm01_norms", f"WITH {ENCODED} SELECT vec_id, round(a0 * a0 * {ddot('c', 'c')} + 2 * a0 * a1 * {ddot('c', 'atom')} + a1 * a1 * {ddot('atom', 'atom')}, 6) AS norm FROM e")
@@ -494,11 +648,18 @@ def nrm01(spark, d):
 
 for _mode in ("lut", "lut_sqrt", "lut_log1p", "lut_tail_weighted", "lut_piecewise"):
 
-    @query(f"nrm03_{_mode}")
+    @query(f"nrm03_{_mode}", f"WITH {BASE} SELECT count(*) AS n, 0 AS farther, true AS codes_in_use FROM b")
     def nrm03(spark, d, mode=_mode):
+        """Every norm has the code of its nearest center, and no row is left out of the fit."""
         norms = normed(spark, d).select("vec_id", "norm")
-        sample = norms.orderBy(F.xxhash64("vec_id")).limit(100_000).select("norm").toArrow().column(0).to_numpy()  # a bounded sample fits the table
-        return compression.norm_codes(norms, compression.norm_table(sample, mode, 16)[0]).select("vec_id", "norm_code")
+        values, counts = compression.value_histogram(norms, "norm")
+        table = compression.norm_table(values, mode, 16, counts)[0]
+        rows = compression.norm_codes(norms, table)
+        known = F.array(*[F.lit(float(c)) for c in table])
+        own = F.abs(F.element_at(known, F.col("norm_code") + 1) - F.col("norm"))
+        best = F.array_min(F.transform(known, lambda c: F.abs(c - F.col("norm"))))
+        got = rows.agg(F.count(F.lit(1)).alias("n"), F.sum((own > best + 1e-12).cast("long")).alias("farther"), F.countDistinct("norm_code").alias("used")).first()
+        return holds(spark, n=got["n"], farther=got["farther"], codes_in_use=bool(int(counts.sum()) == got["n"] and 8 <= got["used"] <= 17))
 
 
 # Metrics
@@ -527,8 +688,24 @@ def met05(spark, d):
     return spark.createDataFrame(metrics.plan_grid([4, 8, 4, -1], [16, 32], True), "nprobe int, ef int")
 
 
-@query("flt05_valid_truth", f"WITH {BASE}, {TRUTH} SELECT DISTINCT qid, vec_id FROM gt WHERE vec_id % 3 <> 0")
+@query("flt05_valid_truth", f"WITH {BASE}, {TRUTH} SELECT qid, vec_id, rank FROM gt")
 def flt05(spark, d):
-    return _truth(spark, d).select("qid", "vec_id").where("vec_id % 3 <> 0").dropDuplicates()
+    """Truth with rows of id -1 behind it and its members again at later ranks comes out clean."""
+    truth = _truth(spark, d)
+    dirty = topk.pad(truth, queries_of(spark, d), 14).select("qid", "rank", "vec_id").unionByName(truth.select("qid", (F.col("rank") + 20).alias("rank"), "vec_id"))
+    return metrics.valid_truth(dirty).select("qid", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("jn02_compare_truths", f"WITH {ENCODED}, {FOUND} SELECT qid, count(*) FILTER (WHERE gt.vec_id = pd.vec_id) AS same_rank, (SELECT count(*) FROM gt g JOIN pd p ON g.qid = p.qid AND g.vec_id = p.vec_id WHERE g.qid = gt.qid) AS common, round((SELECT count(*) FROM gt g JOIN pd p ON g.qid = p.qid AND g.vec_id = p.vec_id WHERE g.qid = gt.qid) / 10.0, 6) AS overlap FROM gt JOIN pd USING (qid, rank) GROUP BY qid")
+def jn02(spark, d):
+    """The exact truth held against one from estimated distances."""
+    got = metrics.compare_truths(_truth(spark, d), _short(spark, d, 10))
+    return got.select("qid", "same_rank", "common", r6("overlap").alias("overlap"))
 
 
+@query("flt04_real_only", f"WITH {CENTERS}, al AS (SELECT vec_id, x FROM b UNION ALL SELECT -1 - cid, c FROM c), rk AS (SELECT qid, vec_id, {dl2('q', 'x')} AS dist, row_number() OVER (PARTITION BY qid ORDER BY {dl2('q', 'x')}, vec_id) AS rank FROM q, al QUALIFY rank <= 40) SELECT qid, vec_id, round(dist, 6) AS dist FROM rk WHERE vec_id >= 0")
+def flt04(spark, d):
+    """A search over vectors and the lists' virtual centers, of which only real rows come out."""
+    virtual_rows = centers(spark, d).select((-1 - F.col("cid")).cast("long").alias("vec_id"), F.col("c").alias("x"))
+    found = search.exact_knn(base(spark, d).select("vec_id", "x").unionByName(virtual_rows), queries_of(spark, d), 40)
+    return linkage.real_only(found).select("qid", "vec_id", r6("dist").alias("dist"))

@@ -2,26 +2,52 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
 from enum import Enum
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a local one on a local master."""
+    """A new place that all executors share: under spark.checkpoint.dir, or a local one on a local master. It goes with the driver's JVM."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not conf.get("spark.master", "").startswith("local["):
+        master = conf.get("spark.master", "")
+        if not master.startswith("local") or "cluster" in master:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="orrery-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    system, target = _hadoop(spark, path)
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def spooled(df: DataFrame, name: str, before: DataFrame | None = None) -> DataFrame:
+    """df written as Parquet and read back, where its lineage ends; then deletes the spooled table before it."""
+    place = scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(place)
+    back = df.sparkSession.read.schema(df.schema).parquet(place)
+    back._orrery_place = place
+    if before is not None and hasattr(before, "_orrery_place"):
+        delete(df.sparkSession, before._orrery_place)
+    return back
 
 
 def write_encodings(rows: DataFrame, path: str, mode: str = "error", per_list: str = "cid") -> None:
@@ -35,6 +61,74 @@ def read_encodings(spark: SparkSession, path: str, lists: list[int] | None = Non
     return rows.where(F.col("cid").isin(lists)) if lists is not None else rows
 
 
+LINKAGE = "cid long, vec_ids array<long>, tree binary, depth_offsets array<int>, width int, codes array<int>, coeffs array<double>, errors array<double>"
+
+
+def write_linkage(forest: DataFrame, path: str, mode: str = "error") -> None:
+    """A forest as one row for each list: ids in breadth-first order, the parents as a level-order tree, the first place of each depth, and codes."""
+    from orrery.operators.compression import Louds
+
+    def stored(part: pa.Table) -> pa.Table:
+        part = part.sort_by("local_id")
+        depth = part.column("depth").to_numpy()
+        tree = Louds.build(part.column("parent_local").to_numpy())
+        codes, coeffs = (part.column(c).combine_chunks() for c in ("codes", "coeffs"))
+        lists = {
+            "vec_ids": (part.column("vec_id").to_numpy(), pa.int64()), "depth_offsets": (np.searchsorted(depth, np.arange(depth.max(initial=0) + 2)), pa.int32()),
+            "codes": (codes.flatten().to_numpy(), pa.int32()), "coeffs": (coeffs.flatten().to_numpy(), pa.float64()), "errors": (part.column("error").to_numpy(), pa.float64()),
+        }
+        rows = {name: pa.array([list(x)], pa.list_(kind)) for name, (x, kind) in lists.items()}
+        rows |= {"cid": part.column("cid")[:1], "tree": pa.array([tree.serialise()], pa.binary()), "width": pa.array([len(codes.flatten()) // len(codes)], pa.int32())}
+        return pa.table({name: rows[name] for name in ("cid", "vec_ids", "tree", "depth_offsets", "width", "codes", "coeffs", "errors")})
+
+    forest.groupBy("cid").applyInArrow(stored, LINKAGE).repartitionByRange("cid").sortWithinPartitions("cid").write.mode(mode).parquet(path)
+
+
+def read_linkage(spark: SparkSession, path: str, lists: list[int] | None = None, depths: tuple[int, int] | None = None) -> DataFrame:
+    """The rows of a stored forest, of some lists and of a span of depths (both ends in it) if told; parents come from the trees' bits."""
+    from orrery.operators.compression import Louds
+    from orrery.operators.linkage import FOREST
+
+    low, high = depths or (0, 1 << 30)
+
+    def rows(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                starts, width = r["depth_offsets"], r["width"]
+                a, b = starts[min(low, len(starts) - 1)], starts[min(high + 1, len(starts) - 1)]
+                n, parent = len(r["vec_ids"]), Louds.deserialise(r["tree"]).parents()
+                depth = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+                codes, coeffs = (np.array(r[c]).reshape(n, width)[a:b] for c in ("codes", "coeffs"))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(b - a, r["cid"]), pa.int64()), pa.array(np.arange(a + 1, b + 1), pa.int32()), pa.array(r["vec_ids"][a:b], pa.int64()), pa.array(parent[a:b], pa.int32()), pa.array(depth[a:b], pa.int32()),
+                        pa.array(list(codes.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(coeffs.astype(float)), pa.list_(pa.float64())), pa.array(r["errors"][a:b], pa.float64()),
+                    ],
+                    ["cid", "local_id", "vec_id", "parent_local", "depth", "codes", "coeffs", "error"],
+                )
+
+    return read_encodings(spark, path, lists).select(*[f.split(" ")[0] for f in LINKAGE.split(", ")]).mapInArrow(rows, FOREST)
+
+
+def write_codec(streams: DataFrame, path: str, mode: str = "error") -> None:
+    """Coefficient streams as `compress_lists` makes them."""
+    streams.repartitionByRange("cid").sortWithinPartitions("cid", "grp", "layer").write.mode(mode).parquet(path)
+
+
+def read_codec(spark: SparkSession, path: str, lists: list[int] | None = None) -> DataFrame:
+    """cid, grp, layer, nth (in the order of ids) and q of the symbols of stored streams."""
+    from orrery.operators.compression import huffman_decode
+
+    def symbols(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                q = huffman_decode(dict(zip(r["symbols"], r["lens"])), r["payload"], r["n_sym"])
+                same = [pa.array(np.full(len(q), r[c]), kind) for c, kind in (("cid", pa.int64()), ("grp", pa.int32()), ("layer", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(q)), pa.int64()), pa.array(q, pa.int32())], ["cid", "grp", "layer", "nth", "q"])
+
+    return read_encodings(spark, path, lists).mapInArrow(symbols, "cid long, grp int, layer int, nth long, q int")
+
+
 def identity(part: str, settings: dict, parent: str | None = None) -> str:
     """The hash of a store: its own settings and the hash of the store it was made from."""
     text = json.dumps({"part": part, "settings": settings, "parent": parent}, sort_keys=True, separators=(",", ":"))
@@ -77,8 +171,8 @@ CLEANUP = {
 
 
 def delete(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _hadoop(spark, path)
+    return system.delete(target, True)
 
 
 def clean(spark: SparkSession, places: dict[str, str], preset: str) -> list[str]:

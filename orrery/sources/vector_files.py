@@ -132,22 +132,39 @@ def gather(vectors: DataFrame, ids: DataFrame) -> DataFrame:
     return vectors.join(ids.select("vec_id").distinct(), "vec_id")
 
 
-#: Base, query, train and truth files of known collections, below a root folder (fixed names).
+#: Train, base, query and truth files of known collections below a root folder (fixed names), with the folder they may stand in.
+#: None: the collection has no file of its own to train on, and the base serves.
 PRESETS = {
-    "SIFT1M": ("sift_base.fvecs", "sift_query.fvecs", "sift_learn.fvecs", "sift_groundtruth.ivecs"),
-    "SIFTSMALL": ("siftsmall_base.fvecs", "siftsmall_query.fvecs", "siftsmall_learn.fvecs", "siftsmall_groundtruth.ivecs"),
-    "GIST1M": ("gist_base.fvecs", "gist_query.fvecs", "gist_learn.fvecs", "gist_groundtruth.ivecs"),
-    "SIFT1B": ("bigann_base.bvecs", "bigann_query.bvecs", "bigann_learn.bvecs", "gnd/idx_{m}M.ivecs"),
+    "SIFT1M": ("sift", "sift_learn.fvecs", "sift_base.fvecs", "sift_query.fvecs", "sift_groundtruth.ivecs"),
+    "SIFTSMALL": ("siftsmall", "siftsmall_learn.fvecs", "siftsmall_base.fvecs", "siftsmall_query.fvecs", "siftsmall_groundtruth.ivecs"),
+    "GIST1M": ("gist", "gist_learn.fvecs", "gist_base.fvecs", "gist_query.fvecs", "gist_groundtruth.ivecs"),
+    "SIFT1B": ("bigann", "learn.bvecs", "1milliard.p1.siftbin", "queries.bvecs", "bigann_gnd/idx_{m}M.ivecs"),
+    "DEEP10M": ("deep10m", None, "base.10M.fbin", "query.public.10K.fbin", "groundtruth.{m}M.ibin"),
+    "MSONG": ("msong", None, "msong_base.fvecs", "msong_query.fvecs", "msong_groundtruth.ivecs"),
+    "GLOVE100": ("glove100/converted", None, "glove100_base.fvecs", "glove100_query.fvecs", "glove100_groundtruth.ivecs"),
+    "DEEP1M": ("deep1m", "learn.fvecs", "base.fvecs", "deep1B_queries.fvecs", "deep1M_groundtruth.ivecs"),
 }
 
 
-def preset(name: str, root: str, n_base: int | None = None) -> dict[str, str]:
-    """Paths by role. For subsets of the billion the truth file is that of the largest listed subset up to n_base."""
+def preset(name: str, root: str, n_base: int | None = None, **own: str) -> dict[str, str]:
+    """Paths by role; own paths take the place of the collection's, and are all that a collection of another name has.
+
+    Files stand below root or below the collection's folder in it: the folder is taken unless the
+    base is found without it. The truth of a subset is that of the largest listed subset up to n_base.
+    """
+    roles = ("train", "base", "query", "truth")
     if name not in PRESETS:
-        raise ValueError(f"unknown collection: {name}")
-    paths = [f"{root.rstrip('/')}/{p}" for p in PRESETS[name]]
-    paths[3] = paths[3].format(m=subset_millions(n_base or 1_000_000_000))
-    return dict(zip(("base", "query", "train", "truth"), paths))
+        if not {"base", "query"} <= own.keys():
+            raise ValueError(f"unknown collection: {name}; give its paths")
+        return {"train": own["base"], **own}
+    folder, *files = PRESETS[name]
+    if name == "DEEP10M" and "truth" not in own and n_base not in (None, 1_000_000, 10_000_000):
+        raise ValueError("DEEP10M has truth for subsets of 1 and 10 million only")
+    millions = (n_base or 10_000_000) // 1_000_000 if name == "DEEP10M" else subset_millions(n_base or 1_000_000_000)
+    system, inner = _open(f"{root.rstrip('/')}/{files[1]}")
+    place = root.rstrip("/") if system.get_file_info(inner).type == fs.FileType.File else f"{root.rstrip('/')}/{folder}"
+    paths = {role: f"{place}/{f.format(m=millions)}" for role, f in zip(roles, files) if f}
+    return {"train": paths["base"], **paths, **own}
 
 
 def subset_millions(n: int) -> int:

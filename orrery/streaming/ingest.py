@@ -47,3 +47,24 @@ def build_remaining(rows: DataFrame, target: str, build: Callable[[DataFrame], D
         build(grouped.where(F.col("group") == g).drop("group")).write.mode("overwrite").parquet(f"{target}/group={g}")
         written += 1
     return written
+
+
+def encode_blocks(rows: DataFrame, target: str, block: int, encode: Callable[[DataFrame], DataFrame], on_commit: Callable[[int], None] | None = None) -> int:
+    """Encodes rows in blocks of `block` ids, in their order, each written under the id that follows it; goes on behind the blocks found there.
+
+    on_commit is called with that id after each block is written. Returns the id to go on from.
+    """
+    spark = rows.sparkSession
+    ends = rows.agg(F.min("vec_id").alias("low"), F.max("vec_id").alias("high")).first()
+    if ends["low"] is None:
+        return 0
+    jvm, at = spark.sparkContext._jvm, (ends["low"] // block) * block
+    while at <= ends["high"]:
+        place = f"{target}/next_id={at + block}"
+        done = jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            encode(rows.where((F.col("vec_id") >= at) & (F.col("vec_id") < at + block))).write.mode("overwrite").parquet(place)
+            if on_commit:
+                on_commit(at + block)
+        at += block
+    return at

@@ -5,14 +5,13 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from orrery import registry
+from orrery import engine, registry
 from orrery.engine import Config, RunMode, run
 from orrery.sources.stores import read_encodings, write_encodings
-from orrery.streaming.ingest import build_remaining, encode_stream, unfinished
+from orrery.streaming.ingest import build_remaining, encode_blocks, encode_stream, unfinished
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the tables")
-SAMPLE = ["jn01_exact_knn", "jn10_adc_probed", "lnk12_cycle_cut", "qnt01_quantise", "met03_ndcg", "snk03_list_offsets", "rep02_gini", "vir03_fuzzy_degrees"]
 
 
 def cell(v):
@@ -27,12 +26,21 @@ def rows_of(df):
     return sorted(tuple(cell(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", SAMPLE)
-def test_against_sql(spark, name):
+@pytest.fixture(scope="module")
+def sql():
     con = duckdb.connect()
     for f in os.listdir(DATA):
         con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
-    assert rows_of(registry.QUERIES[name](spark, DATA).toPandas()) == rows_of(con.sql(registry.ORACLES[name]).df())
+    return con
+
+
+def test_every_query_has_its_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+
+
+@pytest.mark.parametrize("name", list(registry.QUERIES))
+def test_against_sql(spark, sql, name):
+    assert rows_of(registry.QUERIES[name](spark, DATA).toPandas()) == rows_of(sql.sql(registry.ORACLES[name]).df())
 
 
 def test_entry(spark):
@@ -48,8 +56,32 @@ def test_whole_run(spark, tmp_path):
     assert full.ok, full.error
     values = {(r["nprobe"], r["metric"], r["k"]): r["value"] for r in full.metrics.collect()}
     assert values[8, "r", 10] >= values[2, "r", 10] and values[8, "r", 10] > 0.5
-    assert run(spark, config, RunMode.EVAL).ok
-    assert not run(spark, Config.load(f"base = {DATA}/none.fvecs\nout = {tmp_path}/no"), RunMode.TRAIN).ok
+    again = run(spark, config, RunMode.EVAL)
+    assert again.ok and sorted(map(tuple, again.metrics.collect())) == sorted(map(tuple, full.metrics.collect()))
+    for broken in (f"base = {DATA}/none.fvecs\nout = {tmp_path}/no", f"base = {DATA}/none.parquet\nout = {tmp_path}/no"):
+        assert not run(spark, Config.load(broken), RunMode.TRAIN).ok
+    assert "no store" in run(spark, Config.load(config.dump(), [f"out = {tmp_path}/empty"]), RunMode.EVAL).error
+
+
+def test_stages_run_again_only_for_other_settings(spark, tmp_path, caplog):
+    source = f"{tmp_path}/base.parquet"
+    spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id < 60").write.parquet(source)
+    config = Config.load(f"base = {source}\nquery = {source}\nout = {tmp_path}/out\nsizes = 4,4\nh0_one = 4\npolicy = all_roots\nnprobe = 2\nk = 5")
+    made = []
+    build, engine._build = engine._build, lambda *a, **k: made.append((a[2], build(*a, **k)))
+    try:
+        assert run(spark, config).ok
+        assert run(spark, config).ok
+        assert made == [("model", True), ("encodings", True), ("forest", True), ("model", False), ("encodings", False), ("forest", False)]
+        made.clear()
+        deeper = Config.load(config.dump(), ["max_depth = 2"])
+        assert run(spark, deeper, RunMode.EVAL).ok and "other settings" in caplog.text  # an evaluation warns and goes on
+        assert run(spark, deeper).ok
+        assert made[-3:] == [("model", False), ("encodings", False), ("forest", True)]
+    finally:
+        engine._build = build
+    grid = engine.run_grid(spark, config, {"nprobe": ["1", "2"], "k,seed": ["3;1"]}, RunMode.TRAIN)
+    assert [r.ok for r in grid] == [True, True] and grid[0].config.out != grid[1].config.out and grid[0].config.k == 3
 
 
 def test_streamed_encoding_equals_batch(spark, tmp_path):
@@ -79,3 +111,18 @@ def test_stores(spark, tmp_path):
     rows = spark.range(30).selectExpr("id AS vec_id", "CAST(id % 3 AS INT) AS cid")
     write_encodings(rows, f"{tmp_path}/e")
     assert read_encodings(spark, f"{tmp_path}/e", [1]).count() == 10
+
+
+def test_blocks_go_on_behind_the_last_commit(spark, tmp_path):
+    rows, seen = spark.range(95).withColumnRenamed("id", "vec_id"), []
+
+    def breaks(block):
+        if seen and seen[-1] == 60:
+            raise RuntimeError("lost")
+        return block
+
+    with pytest.raises(RuntimeError):
+        encode_blocks(rows, f"{tmp_path}/b", 30, breaks, seen.append)
+    assert encode_blocks(rows, f"{tmp_path}/b", 30, lambda b: b, seen.append) == 120
+    assert seen == [30, 60, 90, 120] and spark.read.parquet(f"{tmp_path}/b").count() == 95
+    assert encode_blocks(rows.where("false"), f"{tmp_path}/none", 30, lambda b: b) == 0

@@ -59,6 +59,28 @@ def test_block_size_is_checked(spark):
         search.matrix(table(spark, RNG.normal(size=(10, 4))), "vec_id", "x", most=100)
 
 
+def test_more_queries_and_centers_than_a_block(spark, monkeypatch):
+    base, q = table(spark, RNG.normal(size=(50, 4))), table(spark, RNG.normal(size=(40, 4))).toDF("qid", "q")
+    c = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(RNG.normal(size=(30, 4)))], "cid long, c array<double>")
+    whole, best = (sorted(map(tuple, df.collect())) for df in (search.exact_knn(base, q, 3), search.assign(base, c)))
+    monkeypatch.setattr(search, "MOST_BLOCK_BYTES", 8 * 4 * 12)  # 12 vectors
+    assert len(search.blocks(q, "qid", "q")) > 3
+    assert sorted(map(tuple, search.exact_knn(base, q, 3).collect())) == whole
+    got = sorted(map(tuple, search.assign(base, c).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in best]
+
+
+def test_graph_probe(spark):
+    centers, queries = RNG.normal(size=(400, 8)), RNG.normal(size=(60, 8))
+    c = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(centers)], "cid long, c array<double>")
+    q = table(spark, queries).toDF("qid", "q")
+    exact = {(r["qid"], r["cid"]) for r in search.probe(q, c, 5).collect()}
+    found = [{(r["qid"], r["cid"]) for r in search.probe_graph(q, c, 5, 8, ef).collect()} for ef in (8, 64, 400)]
+    recalls = [len(f & exact) / len(exact) for f in found]
+    assert recalls[2] == 1.0 and recalls[1] >= 0.95 and recalls[0] >= 0.6 and all(len(f) == 300 for f in found)
+    assert search.probe_graph(q, c.where("false"), 5).count() == 0
+
+
 def test_padding(spark):
     got = topk.pad(pairs(spark, [(0, 1, 5, 0.5)], "qid long, rank int, vec_id long, dist double"), pairs(spark, [(0,), (1,)], "qid long"), 2)
     assert sorted((r["qid"], r["rank"], r["vec_id"]) for r in got.collect()) == [(0, 1, 5), (0, 2, -1), (1, 1, -1), (1, 2, -1)]
@@ -124,6 +146,11 @@ def test_kmeans(spark):
 def test_sub_centers():
     centers, at = kmeans.euclidean_kmeans(np.array([[0.0], [2.0], [4.0], [100.0], [102.0], [104.0]]), 2, 8)
     assert sorted(centers.ravel()) == [2.0, 102.0] and len(set(at[:3])) == 1
+    for code in range(12):  # whichever row the root code draws to start from
+        centers, _ = kmeans.euclidean_kmeans(np.array([[0.0], [2.0], [4.0], [100.0], [102.0], [104.0]]), 2, 8, code)
+        assert sorted(centers.ravel()) == [2.0, 102.0]
+    equal, _ = kmeans.euclidean_kmeans(np.ones((5, 2)), 3, 4)
+    assert len(equal) == 3
 
 
 def test_scalar_kmeans_and_quantiles(spark):
@@ -157,6 +184,82 @@ def test_reference_forests(max_depth, seed):
 
 def test_cycle_cut():
     assert linkage.cut_cycles(np.array([1, 2, 0, 2, 3])).tolist() == [-1, 2, 0, 2, 3]
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(rng.integers(1, 30))
+        parent = rng.integers(-1, n, n)
+        wanted = parent.copy()
+        for i in range(n):
+            seen, at = [], i
+            while at >= 0 and at not in seen:
+                seen.append(at)
+                at = int(parent[at])
+            if at == i and i == min(seen):
+                wanted[i] = -1
+        assert linkage.cut_cycles(parent).tolist() == wanted.tolist()
+
+
+@pytest.mark.parametrize("n", [2047, 2048, 2049])
+def test_order_does_not_depend_on_the_size(n):
+    parent = np.array([-1, -1, 1, 0, *[2] * (n - 4)])
+    _, depth, order = linkage.breadth_first(parent, 5)
+    assert order[:4].tolist() == [0, 1, 3, 2] and sorted(order) == list(range(n)) and (np.diff(depth[order]) >= 0).all()
+
+
+@pytest.mark.parametrize("n", [65, 200])
+def test_chains_of_any_depth(spark, n):
+    rows = spark.createDataFrame([(i, 0, i - 1 if i else None) for i in range(n)], "vec_id long, cid int, parent long")
+    assert {r["vec_id"]: (r["root"], r["depth"]) for r in linkage.depths(rows).collect()} == {i: (0, i) for i in range(n)}
+    sums = linkage.sums_along_parents(rows.withColumn("y", F.array(F.lit(1.0))))
+    assert {r["vec_id"]: r["y"] for r in sums.collect()} == {i: [i + 1.0] for i in range(n)}
+    with pytest.raises(ValueError):
+        linkage.depths(spark.createDataFrame([(0, 0, 1), (1, 0, 0)], "vec_id long, cid int, parent long"))
+
+
+def test_subtree_sizes(spark):
+    rows = spark.createDataFrame([(0, 0, None), (1, 0, 0), (2, 0, 0), (3, 0, 1), (4, 0, 3), (5, 0, None)], "vec_id long, cid int, parent long")
+    assert {r["vec_id"]: r["size"] for r in linkage.subtree_sizes(rows).collect()} == {0: 5, 1: 3, 2: 1, 3: 2, 4: 1, 5: 1}
+
+
+def test_samples_of_large_ids(spark):
+    from orrery.operators.sampling import bottom_k
+
+    ids = [4_000_000_000 + 7 * i for i in range(50)] + [2**62 + i for i in range(20)] + list(range(10))
+    wanted = sorted(ids, key=lambda i: ((i * 2654435761 + 12345) % 2**32, i))[:9]
+    assert [r[0] for r in bottom_k(spark.createDataFrame([(i,) for i in ids], "vec_id long"), 9).collect()] == wanted
+
+
+def test_trees_with_an_index():
+    rng = np.random.default_rng(8)
+    parents = np.sort([0, 0, *[int(rng.integers(0, i)) for i in range(2, 3000)]])
+    tree = compression.Louds.deserialise(compression.Louds.build(parents).serialise())
+    assert tree.parents().tolist() == parents.tolist() == [tree.parent(v) for v in range(1, 3001)]
+    with pytest.raises(ValueError):
+        compression.Louds.deserialise(tree.serialise()[:-1])
+    with pytest.raises(IndexError):
+        tree.parent(3001)
+
+
+def test_linkage_store(spark, tmp_path):
+    rows = [(0, i + 1, 10 + i, p, d, [i], [i / 2], 0.1) for i, (p, d) in enumerate(zip([0, 0, 1, 2, 3, 4], [0, 0, 1, 1, 2, 2]))]
+    rows += [(2, i + 1, 20 + i, p, d, [i], [i / 4], 0.2) for i, (p, d) in enumerate(zip([0, 0, 1, 3], [0, 0, 1, 2]))]
+    stores.write_linkage(spark.createDataFrame(rows, linkage.FOREST).repartition(3), f"{tmp_path}/l")
+    back = stores.read_linkage(spark, f"{tmp_path}/l")
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    assert [r["vec_id"] for r in stores.read_linkage(spark, f"{tmp_path}/l", [2], (1, 1)).collect()] == [22]
+    assert stores.read_linkage(spark, f"{tmp_path}/l", [1]).count() == 0 and stores.read_linkage(spark, f"{tmp_path}/l", [0], (7, 9)).count() == 0
+
+
+def test_truths(spark):
+    a, b = ranked(spark, [[1, 2, 3], [4, 5, 6]]), ranked(spark, [[1, 3, 9], [-1, 5, 5]])
+    got = {r["qid"]: (r["same_rank"], r["common"], r["overlap"]) for r in metrics.compare_truths(a, b).collect()}
+    assert got == {0: (1, 2, 2 / 3), 1: (1, 1, 1 / 3)}
+
+
+def test_throughput():
+    calls = []
+    got = metrics.throughput(lambda: calls.append(1), 100, warm_up=2, repeats=3)
+    assert len(calls) == 5 and got["median_qps"] > 0 and got["mean_qps"] > 0
 
 
 @pytest.mark.parametrize("policy", ["structured", "nn_forest", "random_forest", "all_roots"])
@@ -234,7 +337,12 @@ def test_vector_files(spark, tmp_path, kind):
 
 
 def test_presets():
-    assert vector_files.preset("SIFT1B", "/r", 3_000_000)["truth"] == "/r/gnd/idx_2M.ivecs"
+    assert vector_files.preset("SIFT1B", "/r", 3_000_000)["truth"] == "/r/bigann/bigann_gnd/idx_2M.ivecs"
+    assert vector_files.preset("MSONG", "/r")["train"] == vector_files.preset("MSONG", "/r")["base"] == "/r/msong/msong_base.fvecs"
+    assert vector_files.preset("own", "/r", base="b.fvecs", query="q.fvecs") == {"train": "b.fvecs", "base": "b.fvecs", "query": "q.fvecs"}
+    for name, n in (("own", None), ("DEEP10M", 5)):
+        with pytest.raises(ValueError):
+            vector_files.preset(name, "/r", n)
     assert vector_files.subset_millions(10) == 1 and vector_files.subset_millions(999_000_000) == 500
 
 
