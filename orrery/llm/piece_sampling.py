@@ -29,6 +29,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,9 +103,25 @@ class Vocabulary:
             to[~plain] = np.where(self.wide[at] == keys, self.wide_to[at], -1)
         return to
 
+        #: The bytes that each piece spells, one after another.
+        self.spelled = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+        self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode()
 
+    def decode_all(self, pieces: pa.ListArray) -> pa.StringArray:
+        """The texts that lists of ids spell; null for null."""
+        ids = pieces.flatten().to_numpy()
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        data = self.spelled[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        counts = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy()
+        offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int64)
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.large_string()).cast(pa.string())
+        return pc.if_else(pieces.is_valid(), texts, pa.scalar(None, pa.string()))
+
 
 class Lattice:
     """One unit of any length: for each place the running sums of weights, beginnings and ids of the pieces that end there.
@@ -361,8 +378,7 @@ def decode(docs: DataFrame, model_path: str, pieces_col: str = "pieces", text_co
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = [None if ids is None else vocabulary.decode(ids) for ids in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column(1)], ["text", "row"])
+                yield pa.RecordBatch.from_arrays([vocabulary.decode_all(part.column(0)), part.column(1)], ["text", "row"])
 
     names = Names(without(docs, [text_col]).columns)
     packed = docs.select(F.col(f"`{pieces_col}`").alias("pieces"), names.pack().alias("row"))

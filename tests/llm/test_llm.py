@@ -645,6 +645,17 @@ def test_long_units_have_their_exact_shares(monkeypatch):
     assert sampler.encode_all(texts, ["a", "b", "c"])[0].tolist() == whole
 
 
+def test_lists_of_pieces_are_spelled_out():
+    import pyarrow as pa
+
+    sampler = piece_sampling._sampler(PIECES, 7)
+    texts = ["one two", "", "é日\U0001f600 x", " "]
+    lists = pa.array([sampler.encode(t, "k") for t in texts] + [None], pa.list_(pa.int32()))
+    assert sampler.vocabulary.decode_all(lists).to_pylist() == [*texts, None]
+    assert sampler.vocabulary.decode_all(lists.slice(2, 3)).to_pylist() == [texts[2], texts[3], None]
+    assert sampler.vocabulary.decode_all(lists.slice(0, 0)).to_pylist() == []
+
+
 def test_pieces_do_not_depend_on_the_slices(monkeypatch):
     sampler, texts = piece_sampling._sampler(PIECES, 7), [PLAIN * 3, "", LONG[:5000], "y" * 300 + " é日😀", PLAIN]
     whole, counts = sampler.encode_all(texts, list("abcde"))
