@@ -7,7 +7,14 @@ the first (in order of the table's rows, then of place) stays and the others are
 
 Chunks are first folded within blocks of a few MB, so that one common passage reaches a bucket
 once for each block, however many documents share it. What is left is dealt out by digest as
-packed arrays. Neighbouring repeats join into spans, and spans of at least `min_bytes` count.
+packed arrays. Neighbouring repeats join into spans.
+
+A shared passage yields the chunks that lie wholly inside it. So each span is then extended to
+both sides, byte by byte, as far as the text around it equals the text around the first place
+of its outer chunks. Texts give out the bytes around the places asked of them, a few hundred at
+first and more for those edges that are still equal at the end of these. Extended spans of at
+least `min_bytes` count. Each of their bytes stands in an earlier place too, so that cutting
+all spans out loses no passage.
 """
 
 from __future__ import annotations
@@ -22,13 +29,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.ngram_join import _pack, _unpack
-from orrery.llm.shared import Names, documents, mix, slices, spool, struct_of
+from orrery.llm.shared import Names, documents, join_unique, mix, slices, spool, struct_of, unspool
 
 #: A cut may fall where the hash's top CUT_BITS are zero, at least MIN_CHUNK bytes after the last place where it might; longer chunks are cut at MAX_CHUNK.
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 5, 16, 512
 #: Spans of repeats shorter than this stay: about 20 words.
 MIN_BYTES = 120
 BLOCK_BYTES, BUCKET_CHUNKS = 4 << 20, 500_000
+#: Bytes compared around an edge of a span in the first round. Rounds go on until no edge is open, with 8 times the bytes each,
+#: up to WIDE_REACH, or beyond it as long as all open edges together stay within ROUND_BYTES.
+FIRST_REACH, WIDE_REACH, ROUND_BYTES = 256, 4096, 64 << 20
+_SPAN = "rid long, start long, length long, first_rid long, first_start long"
+_EDGE = "start long, right boolean, place long, to_rid long, to_place long, gained long"
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _GEAR[0] = 0
 _WINDOW = 32
@@ -65,7 +77,7 @@ def cuts(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]
 
 def _chunks(n_buckets: int):
     """Rows of two kinds: a repeat within its block, and a bucket's packed first chunks."""
-    names = ["rid", "start", "length", "first_rid", "bucket", "blob"]
+    names = ["rid", "start", "length", "first_rid", "first_start", "bucket", "blob"]
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,10 +102,10 @@ def _chunks(n_buckets: int):
                 blobs = [_pack(high[x], low[x], np.diff(rid[new[x]], prepend=0), place[new[x]], length[new[x]]) for x in np.split(by, at[1:])]
                 n, m = len(again), len(blobs)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x) for x in (rid[again], place[again], length[again], rid[first[again]])), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                    [*(pa.array(x) for x in (rid[again], place[again], length[again], rid[first[again]], place[first[again]])), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                     names,
                 )
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 4, pa.array(values, pa.int32()), pa.array(blobs, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 5, pa.array(values, pa.int32()), pa.array(blobs, pa.binary())], names)
 
     return chunked
 
@@ -105,35 +117,149 @@ def _repeats(table: pa.Table) -> pa.Table:
     order = np.lexsort((start, rid, low, high))
     new = np.ones(len(order), dtype=bool)
     new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
-    first = rid[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]][~new]
     at = order[~new]
-    return pa.table({"rid": rid[at], "start": start[at], "length": length[at], "first_rid": first[~new]})
+    return pa.table({"rid": rid[at], "start": start[at], "length": length[at], "first_rid": rid[first], "first_start": start[first]})
 
 
-def _spans(docs: DataFrame, text_col: str, min_bytes: int) -> DataFrame:
-    """rid (place of the row in docs), start, length, n_chunks and first_rid of each span."""
-    spark = docs.sparkSession
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{text_col}`").alias("text"))
+def _runs(texts: DataFrame) -> DataFrame:
+    """Runs of neighbouring repeats, a spooled table: rid, start, length, n_chunks, first_rid and first_start of the run's first chunk, last_rid and last_end of its last."""
+    spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 48 / BUCKET_CHUNKS))
-    schema = "rid long, start long, length long, first_rid long"
-    chunks = spool(texts.mapInArrow(_chunks(n_buckets), f"{schema}, bucket int, blob binary"), "chunks")
-    across = chunks.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_repeats, schema)
-    repeats = chunks.where("bucket is null").select("rid", "start", "length", "first_rid").unionByName(across)
+    chunks = spool(texts.mapInArrow(_chunks(n_buckets), f"{_SPAN}, bucket int, blob binary"), "chunks")
+    across = spool(chunks.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_repeats, _SPAN), "across")
+    # The first chunk of its block may be the repeat of one before the block.
+    before = across.select(F.col("rid").alias("first_rid"), F.col("start").alias("first_start"), F.col("first_rid").alias("far_rid"), F.col("first_start").alias("far_start"))
+    inside = join_unique(chunks.where("bucket is null").drop("bucket", "blob"), before, ["first_rid", "first_start"], "rid", "left").select(
+        "rid", "start", "length", F.coalesce("far_rid", "first_rid").alias("first_rid"), F.coalesce("far_start", "first_start").alias("first_start")
+    )
     along = Window.partitionBy("rid").orderBy("start")
     apart = F.when(F.lag(F.col("start") + F.col("length")).over(along) == F.col("start"), 0).otherwise(1)
+    first, last = F.min(F.struct("start", "first_rid", "first_start")), F.max(F.struct("start", "first_rid", (F.col("first_start") + F.col("length")).alias("end")))
+    runs = (
+        inside.unionByName(across)
+        .withColumn("apart", apart)
+        .withColumn("run", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("rid", "run")
+        .agg(first.alias("first"), last.alias("last"), F.sum("length").alias("length"), F.count(F.lit(1)).alias("n_chunks"))
+        .select("rid", "first.start", "length", "n_chunks", "first.first_rid", "first.first_start", F.col("last.first_rid").alias("last_rid"), F.col("last.end").alias("last_end"))
+    )
+    kept = spool(runs, "runs")
+    unspool(chunks, across)
+    return kept
+
+
+def _around(reach: int):
+    """The bytes before (or after, if right) each place asked for, `reach` at most."""
+    names = ["rid", "start", "right", "place", "to_rid", "to_place", "gained", "bytes"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                asked = part.column(2)
+                texts = [(t or "").encode() for t in part.column(1).to_pylist()]
+                owner = np.repeat(np.arange(len(texts)), asked.value_lengths().to_numpy())
+                edge = asked.flatten()
+                fields = [edge.field(n) for n in names[1:7]]
+                places, rights = edge.field("place").to_pylist(), edge.field("right").to_pylist()
+                for a in range(0, len(owner), step := max(1, (8 << 20) // reach)):
+                    cut = [texts[k][p : p + reach] if r else texts[k][max(0, p - reach) : p] for k, p, r in zip(owner[a : a + step].tolist(), places[a : a + step], rights[a : a + step])]
+                    rids = part.column(0).take(pa.array(owner[a : a + step]))
+                    yield pa.RecordBatch.from_arrays([rids, *[f.slice(a, step) for f in fields], pa.array(cut, pa.binary())], names)
+
+    return read
+
+
+def common(a: bytes, b: bytes, right: bool) -> int:
+    """How many bytes two texts have in common at their beginnings (right) or at their ends."""
+    n = min(len(a), len(b))
+    x, y = (a[:n], b[:n]) if right else (a[len(a) - n :][::-1], b[len(b) - n :][::-1])
+    if x == y:
+        return n
+    low = 0
+    while n - low > 1:  # x[:low] equals y[:low], x[:n] differs from y[:n]
+        mid = (low + n) // 2
+        low, n = (mid, n) if x[low:mid] == y[low:mid] else (low, mid)
+    return low
+
+
+def _compare(reach: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, others, right = (batch.column(n).to_pylist() for n in ("bytes", "other", "right"))
+            more = np.fromiter(map(common, own, others, right), dtype=np.int64, count=len(own))
+            by = np.where(batch.column("right").to_numpy(zero_copy_only=False).astype(bool), more, -more)
+            moved = {"place": by, "to_place": by, "gained": more}
+            columns = [pa.array(batch.column(n).to_numpy() + moved[n]) if n in moved else batch.column(n) for n in ("rid", "start", "right", "place", "to_rid", "to_place", "gained")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(more == reach)], ["rid", "start", "right", "place", "to_rid", "to_place", "gained", "open"])
+
+    return compare
+
+
+def _gains(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """rid, start, left and right of each run: by how many bytes it goes on to either side as around its first place."""
+    left = runs.select("rid", "start", F.lit(False).alias("right"), F.col("start").alias("place"), F.col("first_rid").alias("to_rid"), F.col("first_start").alias("to_place"))
+    right = runs.select("rid", "start", F.lit(True).alias("right"), (F.col("start") + F.col("length")).alias("place"), F.col("last_rid").alias("to_rid"), F.col("last_end").alias("to_place"))
+    edges = left.unionByName(right).withColumn("gained", F.lit(0).cast("long"))
+    # At a text's beginning nothing is left to compare.
+    edges = edges.where("right or place > 0 and to_place > 0")
+    reach, done = FIRST_REACH, None
+    while True:
+        edge = F.struct(*[F.col(c) for c in ("start", "right", "place", "to_rid", "to_place", "gained")])
+        places = edges.select(F.col("to_rid").alias("rid"), "right", F.col("to_place").alias("place")).distinct()
+        nothing = F.lit(None).cast("long")
+        asked = edges.select("rid", edge.alias("edge")).unionByName(
+            places.select("rid", F.struct(nothing.alias("start"), "right", "place", nothing.alias("to_rid"), nothing.alias("to_place"), nothing.alias("gained")).alias("edge"))
+        )
+        # A text's own places alone come together here.
+        lists = asked.groupBy("rid").agg(F.collect_list("edge").alias("asked"))
+        around = spool(texts.join(lists, "rid").select("rid", "text", "asked").mapInArrow(_around(reach), f"rid long, {_EDGE}, bytes binary"), "around")
+        others = around.where("to_rid is null").select(F.col("rid").alias("to_rid"), F.col("place").alias("to_place"), "right", F.col("bytes").alias("other"))
+        pairs = join_unique(around.where("to_rid is not null"), others, ["to_rid", "to_place", "right"], "rid")
+        compared = spool(pairs.mapInArrow(_compare(reach), f"rid long, {_EDGE}, open boolean"), "edges")
+        unspool(around)
+        closed = compared.where("not open").select("rid", "start", "right", "gained")
+        done = closed if done is None else done.unionByName(closed)
+        edges = compared.where("open").drop("open")
+        n_open = edges.count()
+        if not n_open:
+            break
+        reach = min(reach * 8, max(WIDE_REACH, ROUND_BYTES // n_open))
+    gained = {side: F.sum(F.when(F.col("right") == F.lit(side == "right"), F.col("gained")).otherwise(0)).alias(side) for side in ("left", "right")}
+    return done.groupBy("rid", "start").agg(*gained.values())
+
+
+def _spans(docs: DataFrame, text_col: str, min_bytes: int) -> DataFrame:
+    """rid (place of the row in docs), start, length, n_chunks and first_rid of each span."""
+    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{text_col}`").alias("text"))
+    runs = _runs(texts)
+    left, right = F.coalesce("left", F.lit(0)), F.coalesce("right", F.lit(0))
+    extended = (
+        runs.join(_gains(texts, runs), ["rid", "start"], "left")
+        .select("rid", (F.col("start") - left).alias("start"), (F.col("start") + F.col("length") + right).alias("end"), "n_chunks", "first_rid")
+        .where(F.col("end") - F.col("start") >= min_bytes)
+    )
+    # Spans that met each other become one.
+    along = Window.partitionBy("rid").orderBy("start", "end")
+    apart = F.when(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("start"), 0).otherwise(1)
     return (
-        repeats.withColumn("apart", apart)
+        extended.withColumn("apart", apart)
         .withColumn("span", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("rid", "span")
-        .agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.count(F.lit(1)).alias("n_chunks"), F.min(F.struct("start", "first_rid"))["first_rid"].alias("first_rid"))
-        .where(F.col("length") >= min_bytes)
+        .agg(
+            F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("length"), F.sum("n_chunks").alias("n_chunks"),
+            F.min(F.struct("start", "end", "first_rid"))["first_rid"].alias("first_rid"),
+        )
     )
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
     """One row per span that repeats earlier text: id_col, start, length (in bytes), n_chunks and
-    first_<id_col>, a row before it that holds the span's first chunk.
+    first_<id_col>, the first row that holds the span's first chunk. Spans are whole repeated
+    stretches, up to the bytes where the texts differ; of a character cut in two the bytes on the
+    equal side count.
 
     docs has to be a stored table. Null and empty texts have no spans. A repeated row repeats the
     earlier one whole. A text that repeats itself has spans whose first row is its own. Null ids

@@ -804,7 +804,7 @@ def test_repeated_spans(tables):
 
 
 def plain_spans(texts):
-    """Spans by a scalar gear hash and a dictionary of chunks, in order of the texts."""
+    """Spans by a scalar gear hash and a dictionary of chunks, in order of the texts, extended byte by byte."""
     seen, spans = {}, []
     for k, text in enumerate(texts):
         may, h = [], 0
@@ -819,31 +819,65 @@ def plain_spans(texts):
         runs = []
         for a, b in at:
             if text[a:b] in seen:
-                if runs and runs[-1][1] == a:
-                    runs[-1][1:] = [b, runs[-1][2] + 1]
+                other, place = seen[text[a:b]]
+                if runs and runs[-1]["end"] == a:
+                    runs[-1] |= {"end": b, "n": runs[-1]["n"] + 1, "last": (other, place + b - a)}
                 else:
-                    runs.append([a, b, 1])
-            seen.setdefault(text[a:b], k)
-        spans += [(k, a, b - a, n) for a, b, n in runs if b - a >= substring_dedup.MIN_BYTES]
+                    runs.append({"start": a, "end": b, "n": 1, "first": (other, place), "last": (other, place + b - a)})
+            seen.setdefault(text[a:b], (k, a))
+        merged = []
+        for run in runs:
+            start, end, (i, p), (j, q) = run["start"], run["end"], run["first"], run["last"]
+            while start and p and text[start - 1] == texts[i][p - 1]:
+                start, p = start - 1, p - 1
+            while end < len(text) and q < len(texts[j]) and text[end] == texts[j][q]:
+                end, q = end + 1, q + 1
+            if end - start >= substring_dedup.MIN_BYTES:
+                merged.append([start, end, run["n"], run["first"][0]])
+        joined = []
+        for start, end, n, i in sorted(merged):
+            if joined and joined[-1][1] >= start:
+                joined[-1][1:3] = [max(joined[-1][1], end), joined[-1][2] + n]
+            else:
+                joined.append([start, end, n, i])
+        spans += [(k, a, b - a, n, i) for a, b, n, i in joined]
     return spans
 
 
-def test_spans_equal_brute_force(tables, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 3000)
+@pytest.mark.parametrize("block, reach", [(3000, 8), (1 << 20, 256)])
+def test_spans_equal_brute_force(tables, monkeypatch, block, reach):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(substring_dedup, "FIRST_REACH", reach)
     rng = random.Random(16)
     passages = [prose(rng, 60, 100_000) for _ in range(4)]
     rows = [(i, " ".join([prose(rng, rng.randrange(0, 60), 100_000), rng.choice(passages), prose(rng, rng.randrange(0, 60), 100_000)] * rng.randrange(1, 3)), None, None, None) for i in range(40)]
-    docs = tables["stored"](rows + [(100, "z" * 3000, None, None, None), (101, None, None, None, None), (102, "z" * 700, None, None, None)], "brute-spans").coalesce(1)
+    odd = [(100, "z" * 3000, None, None, None), (101, None, None, None, None), (102, "z" * 700, None, None, None), (103, "\u00e9\u4e2d" * 300 + passages[0] + "\u00ea", None, None, None)]
+    docs = tables["stored"](rows + odd, f"brute-spans-{block}").coalesce(1)
     texts = [((r["text"] or "").encode(), r["doc_id"]) for r in docs.collect()]
-    wanted = sorted((texts[k][1], a, n, c) for k, a, n, c in plain_spans([t for t, _ in texts]))
-    got = sorted((r["doc_id"], r["start"], r["length"], r["n_chunks"]) for r in substring_dedup.repeated_spans(docs).collect())
-    assert got == wanted
+    wanted = sorted((texts[k][1], a, n, c, texts[i][1]) for k, a, n, c, i in plain_spans([t for t, _ in texts]))
+    got = sorted((r["doc_id"], r["start"], r["length"], r["n_chunks"], r["first_doc_id"]) for r in substring_dedup.repeated_spans(docs).collect())
+    assert got == wanted and len(got) > 30
     cut = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs).collect()}
     for t, i in texts:
-        spans = [(a, n) for d, a, n, _ in wanted if d == i]
+        spans = [(a, n) for d, a, n, *_ in wanted if d == i]
         assert cut[i] == (substring_dedup.without_spans(t.decode(), spans) if i != 101 else None)
 
 
+def test_passages_of_51_words_are_found_whole(tables):
+    rng = random.Random(51)
+    passages = [prose(rng, 51, 100_000) for _ in range(300)]
+    rows = [(2 * i + k, f"{prose(rng, 40, 100_000)} {p} {prose(rng, 40, 100_000)}", None, None, None) for i, p in enumerate(passages) for k in (0, 1)]
+    docs = tables["stored"](rows, "passages").coalesce(1)
+    texts = {i: t.encode() for i, t, *_ in rows}
+    whole = {r["doc_id"] // 2 for r in substring_dedup.repeated_spans(docs).collect() if passages[r["doc_id"] // 2].encode() in texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]}
+    assert len(whole) >= 297
+
+
+@pytest.mark.parametrize("a, b, right, n", [(b"abcd", b"abxd", True, 2), (b"abcd", b"xbcd", False, 3), (b"", b"a", True, 0), (b"aa", b"a", False, 1), (b"xa", b"ya", True, 0), (b"ab", b"ab", True, 2)])
+def test_common_bytes(a, b, right, n):
+    assert substring_dedup.common(a, b, right) == n
+
+
 def test_spans_on_odd_rows(tables):
     got = substring_dedup.repeated_spans(tables["odd"]).collect()
     assert any(r["doc_id"] == 1 or r["doc_id"] is None for r in got)
