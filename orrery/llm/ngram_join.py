@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.components import connected_components
-from orrery.llm.shared import _MULTIPLIER, Names, documents, mix, spool, text_slices, unspool, windows, without, words
+from orrery.llm.shared import _MULTIPLIER, Names, documents, join_unique, mix, spool, text_slices, unspool, windows, without, words
 
 WIDTH = 5
 #: A pair links if 100 * intersection >= PERCENT * union.
@@ -483,14 +483,26 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     before = F.sum("weight").over(own.orderBy("list")) - F.col("weight")
     live = named.select("*", F.sum("weight").over(own).alias("live"), before.alias("before"), *bits)
     second = _Join(join.texts, _renamed(sketch, merged)).linked(_met(live).distinct())
-    unspool(component)
-    component = connected_components(first.union(second))
-    rows = sketch.where("bucket is null").select("rid", "id", "n", "gid").join(component.withColumnRenamed("node", "gid"), "gid", "left")
+    whole = _joined(component, connected_components(_between(second, component)))
+    rows = sketch.where("bucket is null").select("rid", "id", "n", "gid").join(whole.withColumnRenamed("node", "gid"), "gid", "left")
     rows = spool(rows.select("rid", "id", "n", F.coalesce("component", "gid").alias("component")), "rows")
-    unspool(sketch, lists, first, merged, named, second)
+    unspool(sketch, lists, first, component, merged, named, second)
     return rows
 
 
+def _between(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """Links of groups as links of the components they are in so far; a group without one stands for itself."""
+    for end in "ab":
+        pairs = pairs.join(component.toDF(end, "c"), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    return pairs
+
+
+def _joined(component: DataFrame, again: DataFrame) -> DataFrame:
+    """node and component of all groups, of their components so far and of the components of these."""
+    moved = join_unique(component.toDF("node", "at"), again.toDF("at", "last"), ["at"], "node", "left").select("node", F.coalesce("last", "at").alias("component"))
+    return moved.union(again.join(component.select("node"), "node", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs, less its text, with n_shingles and component_id.
 

@@ -244,6 +244,31 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 130)}, 200: 200, 201: 200, 202: 200}
 
 
+def test_components_that_span_tasks(spark):
+    rng = np.random.default_rng(5)
+    big = 1 << 40  # ids beyond 32 bits, in no order along a chain
+    chain = big + rng.permutation(150)
+    edges = [*zip(chain[:-1], chain[1:]), *rng.integers(0, 400, (180, 2)), *[(500, i) for i in range(900, 700, -1)]]
+    edges = [tuple(map(int, e)) for e in edges] * 2
+    parent = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in edges:
+        if a != b and find(a) != find(b):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")  # no task reads more than one file
+        links = spark.createDataFrame([*edges, (None, 3), (3, None)], "a long, b long").repartition(12)
+        got = [tuple(r) for r in connected_components(links).collect()]
+        assert connected_components(links.where("false")).collect() == []
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == len(dict(got)) and dict(got) == {x: find(x) for x in parent}
+
+
 def test_word_hashes_do_not_depend_on_place():
     h, where, n = words([b"a bc  a\n", b"", b"bc A"], fold=True)
     assert n.tolist() == [3, 0, 2] and h[0] == h[2] == h[4] and h[1] == h[3] != h[0] and where.tolist() == [0, 0, 0, 2, 2]
